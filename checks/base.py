@@ -89,13 +89,15 @@ def step_sql(column: str) -> str:
 
 def direction_sql(column: str) -> str:
     return (f"CASE WHEN {column} IS NULL THEN 'missing' WHEN {column} = 'POS_Sell' THEN 'other' "
-            f"WHEN {column} = 'Aggregation' OR {column} LIKE '%_Inbound' THEN 'inbound' ELSE 'outbound' END")
+            f"WHEN {column} = 'Aggregation' OR {column} LIKE '%_Inbound' THEN 'inbound' "
+            f"WHEN {column} LIKE '%_Outbound' THEN 'outbound' ELSE 'other' END")
 
 
 def place_step_sql(column: str) -> str:
     return (f"CASE WHEN {column} IS NULL THEN 'unknown' WHEN {column} = 'POS_Sell' THEN 'pos' "
             f"WHEN {column} = 'Aggregation' THEN 'aggregation' WHEN {column} LIKE 'WMS_%' THEN 'wms' "
-            f"WHEN {column} LIKE 'HUB_%' THEN 'hub' WHEN {column} LIKE 'W_Stock%' THEN 'w_stock' ELSE 'r_stock' END")
+            f"WHEN {column} LIKE 'HUB_%' THEN 'hub' WHEN {column} LIKE 'W_Stock%' THEN 'w_stock' "
+            f"WHEN {column} LIKE 'R_Stock%' THEN 'r_stock' ELSE 'unknown' END")
 
 
 W = "(PARTITION BY file_id, epc_code ORDER BY event_time, event_id)"

@@ -158,7 +158,8 @@ items AS (
       WHEN jat IS NOT NULL THEN 'Step_' || jat || '_issue' WHEN fake > 0 THEN 'EPC_Format_Error'
       WHEN d > 0 THEN 'Duplicate_Scan_Error' ELSE 'General_Analysis' END AS problem,
     s.scan_location AS place, s.event_time AS at_time, s.business_step AS step
-  FROM item1 i JOIN steps s ON s.file_id = i.file_id AND s.epc_code = i.epc_code AND s.pos = spot + 1 WHERE top > 0)"""
+  FROM item1 i JOIN (SELECT file_id AS f2, epc_code AS e2, pos, scan_location, n_place, event_time, business_step FROM steps) s
+    ON s.f2 = i.file_id AND s.e2 = i.epc_code AND s.pos = spot + 1 WHERE top > 0)"""
 
 SENTENCES = {
     "epcFake": "'EPC 코드 형식 위반 감지'", "epcDup": "'동일 시간 다른 위치 중복 스캔 감지'",
