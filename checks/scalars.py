@@ -225,15 +225,15 @@ def _(spark, d):
 
 
 @query("B19_fit_sequence_length", f"""
-, s AS (SELECT file_id, epc_code, list(CAST(location_id AS DOUBLE) ORDER BY event_time, event_id) AS a FROM scans GROUP BY ALL),
+, s AS (SELECT event_id, list(CAST(location_id AS DOUBLE)) OVER (PARTITION BY file_id, epc_code ORDER BY event_time, event_id
+  ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS a FROM scans),
 f AS (SELECT *, len(a) AS n FROM s)
-SELECT file_id, epc_code, array_to_string(CASE WHEN n <= 4 THEN list_transform(a || list_transform(range(4 - n), x -> list_aggregate(a, 'median')), x -> printf('%.3f', x))
-  ELSE list_transform(range(4), i -> printf('%.3f', CASE WHEN i = 3 THEN a[n] ELSE
+SELECT event_id, array_to_string(CASE WHEN n <= 4 THEN list_transform(a || list_transform(range(4 - n), lambda x: list_aggregate(a, 'median')), lambda x: printf('%.3f', x))
+  ELSE list_transform(range(4), lambda i: printf('%.3f', CASE WHEN i = 3 THEN a[n] ELSE
     a[CAST(floor(i*(n-1)/3.0) AS BIGINT)+1] * (1 - (i*(n-1)/3.0 - floor(i*(n-1)/3.0)))
     + a[least(CAST(floor(i*(n-1)/3.0) AS BIGINT)+2, n)] * (i*(n-1)/3.0 - floor(i*(n-1)/3.0)) END)) END, ',') AS fitted FROM f""")
 def _(spark, d):
-    rows = scans(spark, d).groupBy("file_id", "epc_code").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("event_time", "event_id", F.col("location_id").cast("double").alias("v")))),
-        lambda x: x["v"]).alias("a"))
+    rows = win.over_sequence(scans(spark, d), lambda x, s: x.withColumn(
+        "a", F.collect_list(F.col("location_id").cast("double")).over(s.recent(8))), before=8, hot=hot(spark, d))
     fitted = sequences.fit_sequence_length(F.col("a"), 4, "median")
-    return rows.select("file_id", "epc_code", F.array_join(F.transform(fitted, lambda x: F.format_string("%.3f", x)), ",").alias("fitted"))
+    return rows.select("event_id", F.array_join(F.transform(fitted, lambda x: F.format_string("%.3f", x)), ",").alias("fitted"))
