@@ -143,3 +143,15 @@ TYPE_ADVICE = {
     "locErr": "Review supply chain flow and location hierarchy",
     "evtOrderErr": "Examine event sequencing and timing issues",
 }
+
+# --- costs used in evaluation -------------------------------------------------------------------
+# missed, false alert
+REVIEW_COSTS = {
+    "epcFake": (100.0, 10.0), "epcDup": (30.0, 5.0), "locErr": (50.0, 8.0), "evtOrderErr": (40.0, 6.0), "jump": (80.0, 12.0)}
+# false alert, missed
+ACCURACY_COSTS = {
+    "epcFake": (1.0, 100.0), "epcDup": (0.1, 5.0), "locErr": (2.0, 50.0), "evtOrderErr": (1.5, 25.0), "jump": (5.0, 200.0)}
+# false alert, missed, right alert, right silence
+CURVE_COSTS = {
+    "epcFake": (5.0, 50.0, -10.0, 0.0), "epcDup": (2.0, 20.0, -5.0, 0.0), "locErr": (10.0, 100.0, -15.0, 0.0),
+    "evtOrderErr": (8.0, 80.0, -12.0, 0.0), "jump": (15.0, 200.0, -25.0, 0.0)}
