@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -70,17 +71,17 @@ def _row_by_row(fn):
     return apply
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _row_by_row(t_two_sided)(t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return _row_by_row(ks_asymptotic)(d, n, m)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_pvalue(b: pd.Series, c: pd.Series) -> pd.Series:
     def one(x, y):
         x, y = int(x), int(y)
