@@ -23,9 +23,9 @@ def holed(spark, d):
 
 @query("I2_impute_knn", """
 , h AS (SELECT event_id, operator_id, CASE WHEN operator_id % 9 <> 0 THEN device_id END AS target FROM scans),
-g AS (SELECT operator_id AS at, count(*) AS n, avg(target) AS mean FROM h WHERE target IS NOT NULL GROUP BY 1),
+g AS (SELECT operator_id AS spot, count(*) AS n, avg(target) AS mean FROM h WHERE target IS NOT NULL GROUP BY 1),
 q AS (SELECT DISTINCT operator_id FROM h WHERE target IS NULL),
-r AS (SELECT operator_id, n, mean, sum(n) OVER (PARTITION BY operator_id ORDER BY abs(at - operator_id), at) AS upto FROM q, g WHERE abs(at - operator_id) <= 20),
+r AS (SELECT operator_id, n, mean, sum(n) OVER (PARTITION BY operator_id ORDER BY abs(spot - operator_id), spot) AS upto FROM q, g WHERE abs(spot - operator_id) <= 20),
 v AS (SELECT operator_id, sum(least(n, 5 - (upto - n)) * mean)/sum(least(n, 5 - (upto - n))) AS imputed FROM r WHERE upto - n < 5 GROUP BY 1)
 SELECT event_id, round(coalesce(target::DOUBLE, imputed), 6) AS target FROM h LEFT JOIN v USING (operator_id)""")
 def _(spark, d):
@@ -58,7 +58,8 @@ def dirty(spark, d):
 SHARED["dirty"] = """
 dirty AS (SELECT event_id, CASE WHEN device_id % 5 = 0 THEN replace(epc_code, '.', '-') ELSE epc_code END AS code,
   CASE WHEN device_id % 13 = 0 THEN 'not a time' ELSE strftime(event_time, '%Y-%m-%d %H:%M:%S') END AS t, CASE WHEN device_id % 17 = 0 THEN -location_id ELSE location_id END AS l FROM scans),
-fixed AS (SELECT *, CASE WHEN contains(code, '-') THEN replace(upper(code), '-', '.') WHEN contains(code, '_') THEN replace(upper(code), '_', '.') ELSE code END AS new_code FROM dirty)"""
+fixed AS (SELECT *, CASE WHEN NOT contains(code, '.') AND length(code) >= 40 THEN
+  concat_ws('.', substr(code,1,3), substr(code,4,7), substr(code,11,7), substr(code,18,6), substr(code,24,8), substr(code,32)) WHEN contains(code, '-') THEN replace(upper(code), '-', '.') WHEN contains(code, '_') THEN replace(upper(code), '_', '.') ELSE code END AS new_code FROM dirty)"""
 
 
 @query("I4_correct", """

@@ -120,7 +120,7 @@ def scale(df: DataFrame, columns: Sequence[str], methods: dict[str, str] | None
     stats = join_on(stats, rows.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high")), ["column"])
     stats = join_on(stats, quantiles(rows, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), ["column"])
     named = F.col("column").rlike("ratio|rate|percent|probability|progress")
-    method = F.when(((F.col("low") >= 0) & (F.col("high") <= 1)) | named, "minmax").when("is_normal", "standard").otherwise("robust")
+    method = F.when(((F.col("low") >= 0) & (F.col("high") <= 1)) | named, "minmax").when(F.col("is_normal"), "standard").otherwise("robust")
     for c, m in (methods or {}).items():
         method = F.when(F.col("column") == c, m).otherwise(method)
     center = F.when(method == "minmax", F.col("low")).when(method == "standard", F.col("mean")).otherwise(F.col("q50"))
