@@ -302,6 +302,28 @@ def quantiles(
     return picked.select(*keys, *out)
 
 
+def quantile_grid(df: DataFrame, value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact quantiles of one column as one array, for many probabilities at once."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    ranked = running_totals(counted, [], [value], {"_upto": F.col("_n")})
+    ranked = ranked.crossJoin(F.broadcast(counted.agg(F.sum("_n").alias("_total"))))
+    places = F.transform(F.array(*[F.lit(float(p)) for p in probabilities]), lambda p: p * (F.col("_total") - 1))
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    start = F.col("_upto") - F.col("_n")
+    hits = ranked.select(
+        F.explode(F.filter(ranks, lambda r: (r >= start) & (r < F.col("_upto")))).alias("_rank"),
+        F.col(value).cast("double").alias("_v"), "_total")
+    # at most two entries per probability
+    table = hits.agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"), F.first("_total").alias("_total"))
+
+    def between(p: Column) -> Column:
+        x = p * (F.col("_total") - 1)
+        low = F.col("_at")[F.floor(x)]
+        return low + (x - F.floor(x)) * (F.col("_at")[F.ceil(x)] - low)
+
+    return table.select(F.transform(F.array(*[F.lit(float(p)) for p in probabilities]), between).alias("quantiles"))
+
+
 def paged(df: DataFrame, keys: Sequence[str], row_key: Sequence[str], page_rows: int) -> DataFrame:
     """Cut each group into pages of about ``page_rows`` rows by a hash of the row key."""
     sized = with_group_count(df, keys, "_rows")
