@@ -97,6 +97,14 @@ def with_fake_score(df: DataFrame, as_of: Column, name: str = "epcFakeScore", ep
     return df.drop("_parts", "_day", "_status")
 
 
+def with_epc_checks(df: DataFrame, as_of: Column, epc: str = "epc_code") -> DataFrame:
+    """Adds ``_parts`` (array), ``_ok`` (flags) and ``_status`` (date), each from the one before."""
+    df = df.withColumn("_parts", _parts(F.col(epc)))
+    df = df.withColumn("_day", _date(F.get("_parts", F.lit(4))))
+    flags = F.struct(*[test.alias(name) for name, test in _flags(F.col("_parts")).items()])
+    return df.withColumns({"_ok": flags, "_status": _date_status(F.col("_day"), as_of)}).drop("_day")
+
+
 def strict_epc_format(epc: Column) -> Column:
     return F.coalesce(epc.rlike(STRICT_PATTERN), F.lit(False))
 

@@ -48,10 +48,8 @@ def _kinds(df: DataFrame, columns: dict[str, str], keys: Sequence[str]) -> DataF
 
 def fake_features(df: DataFrame, as_of: Column, keys: Sequence[str] = EPC_KEYS) -> DataFrame:
     """Ten numbers about the code itself."""
-    items = df.select(*keys).distinct()
-    items = items.withColumn("_ok", epc.epc_parts(F.col("epc_code")))
-    items = items.withColumn("_status", epc.epc_date_status(F.col("epc_code"), as_of))
-    dated = F.size(F.split("epc_code", r"\.", -1)) >= 5
+    items = epc.with_epc_checks(df.select(*keys).distinct(), as_of)
+    dated = F.size("_parts") >= 5
     parts = ("structure", "header", "company", "product", "lot", "serial")
     values = [_num(F.col("_ok")[p]) for p in parts]
     values += [_num(dated & (F.col("_status") == s)) for s in ("valid", "future_date", "too_old")]
