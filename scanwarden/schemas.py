@@ -3,8 +3,15 @@
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(),
+    "timestamp": T.TimestampType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from ``name type, ...``, without a running session."""
+    pairs = [field.split() for field in text.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 SCAN = _struct(
