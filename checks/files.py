@@ -60,7 +60,7 @@ def _(spark, d):
     return log.scored_report(df).select("event_id", "anomaly_count", "max_score", "any_anomaly")
 
 
-@query("A17_file_inventory", "SELECT source_file, count(*) AS \"rows\", count(DISTINCT epc_code) AS items, 16 AS columns FROM scans GROUP BY 1")
+@query("A17_file_inventory", "SELECT source_file, count(*) AS \"rows\", count(DISTINCT epc_code) AS items, 15 AS columns FROM scans GROUP BY 1")
 def _(spark, d):
     return scan_files.file_inventory(scans(spark, d))
 

@@ -234,7 +234,7 @@ def entropy_sql(term, final, column="location_id"):
 for _v, (_t, _f) in ENTROPY_SQL.items():
     @query(f"D20_entropy_{_v}", f"SELECT file_id, epc_code, round(CAST(e AS DOUBLE), 5) + 0 AS location_id_entropy FROM {entropy_sql(_t, _f)}")
     def _(spark, d, v=_v):
-        return rounded(pro.entropy(scans(spark, d), "location_id", v), "location_id_entropy", digits=5)
+        return rounded(pro.entropy(scans(spark, d), "location_id", v, hot=hot(spark, d)), "location_id_entropy", digits=5)
 
 
 @query("D21_epc_behaviour", """
@@ -258,7 +258,7 @@ SELECT file_id, epc_code, count(*) AS total_scans, round(greatest((epoch_us(max(
 FROM scans JOIN {entropy_sql(*ENTROPY_SQL['similarity'])} a USING (file_id, epc_code)
   JOIN {entropy_sql(*ENTROPY_SQL['similarity'], column='hour(event_time)')} b USING (file_id, epc_code) GROUP BY ALL""")
 def _(spark, d):
-    return rounded(pro.epc_profile(scans(spark, d)), "scan_duration_hours", "business_hour_rate", "weekend_scan_rate", "scan_frequency",
+    return rounded(pro.epc_profile(scans(spark, d), hot=hot(spark, d)), "scan_duration_hours", "business_hour_rate", "weekend_scan_rate", "scan_frequency",
                    "location_entropy", "time_entropy", digits=5)
 
 

@@ -114,7 +114,7 @@ def order_features(df: DataFrame, *, type_column: str = "event_type", strict: bo
     pairs = rows.where(F.col("_x1").isNotNull()).withColumn("_pair", F.concat_ws(">", "_x1", "_kind"))
     base = join_on(base, _kinds(rows.withColumnRenamed(type_column, "_type"), {"_type": "types"}, keys), keys)
     base = join_on(base, _kinds(pairs, {"_pair": "pairs"}, keys), keys)
-    base = join_on(base, entropy(rows, "_kind", "plain", keys=keys, name="bits"), keys).fillna(0)
+    base = join_on(base, entropy(rows, "_kind", "plain", keys=keys, name="bits", hot=hot), keys).fillna(0)
     n = _num(F.col("n"))
     scores = [F.when(F.floor(n / 2) >= k, F.col(f"_r{k}") / (n - k)) for k in range(1, 5)]
     regular = F.when(n < 2, 1.0).otherwise(F.coalesce(F.greatest(*scores), F.lit(0.0)))
@@ -148,7 +148,7 @@ def location_features(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, order: S
         *[F.count_if(F.col("_level") == i).alias(f"l{i}") for i in range(4)],
         F.count_if(F.abs(move) <= 1).alias("smooth"), F.var_pop(move).alias("spread"))
     base = join_on(base, _kinds(df, {"scan_location": "places"}, keys), keys)
-    base = join_on(base, entropy(df, "scan_location", "normalized", keys=keys, name="bits"), keys).fillna(0)
+    base = join_on(base, entropy(df, "scan_location", "normalized", keys=keys, name="bits", hot=hot), keys).fillna(0)
     n, known, places = (_num(F.col(c)) for c in ("n", "known", "places"))
     ratios = [F.when(known > 0, F.col(f"l{i}") / known).otherwise(0.0) for i in range(4)]
     smooth = F.when(n < 2, 1.0).when(known < 2, 0.0).otherwise(F.col("smooth") / (known - 1))
@@ -326,9 +326,12 @@ def sequences(df: DataFrame, features: Sequence[str], labels: Sequence[str] = C.
 
 
 def sequences_adaptive(df: DataFrame, features: Sequence[str], labels: Sequence[str] = C.STATS_TYPES, base: int = 15,
-                       least: int = 5, longest: int = 25, *, keys: Sequence[str] = EPC_KEYS,
+                       least: int = 5, longest: int = 25, *, keep: Sequence[str] = (), keys: Sequence[str] = EPC_KEYS,
                        order: Sequence[str] = EVENT_ORDER, hot: Hot = MEASURE) -> DataFrame:
-    """Windows whose length follows the events per hour; items with few events are left out."""
+    """Windows whose length follows the events per hour; items with few events are left out.
+
+    ``keep`` names columns to carry over from the last event of a window.
+    """
     if hot == MEASURE:
         hot = hot_keys(df, keys)
     rows = _with_span(df, keys, hot)
@@ -337,7 +340,8 @@ def sequences_adaptive(df: DataFrame, features: Sequence[str], labels: Sequence[
     length = (
         F.when(rate > 5, F.least(F.lit(longest), F.col("_total")))
         .when(rate < 1, F.greatest(F.lit(least), usual)).otherwise(usual).cast("int"))
-    return _windows(rows, features, labels, length, least, longest, keys, order, hot, {"scan_frequency": rate})
+    extra = {"scan_frequency": rate} | {c: F.col(c) for c in keep}
+    return _windows(rows, features, labels, length, least, longest, keys, order, hot, extra)
 
 
 def sequences_fixed(df: DataFrame, features: Sequence[str], labels: Sequence[str] = C.STATS_TYPES, length: int = 15,
@@ -388,8 +392,8 @@ def epc_embedding(df: DataFrame, dimensions: int = 16, *, keys: Sequence[str] =
     rates = rows.groupBy(*keys).agg(
         F.avg(F.log1p("time_gap_seconds")).alias("avg_time_gap_log"),
         F.avg(_num(F.col("location_backtrack"))).alias("location_backtrack_rate"))
-    out = join_on(epc_profile(df, keys=keys), rates, keys)
-    out = join_on(out, entropy(df, "operator_id", "similarity", keys=keys, name="operator_entropy"), keys).fillna(0)
+    out = join_on(epc_profile(df, keys=keys, hot=hot), rates, keys)
+    out = join_on(out, entropy(df, "operator_id", "similarity", keys=keys, name="operator_entropy", hot=hot), keys).fillna(0)
     cells = [_num(F.col(c)) for c in EMBEDDING] + [F.lit(0.0)] * (dimensions - len(EMBEDDING))
     return out.withColumn("_v", F.array(*cells)).select(*keys, normalized(F.col("_v")).alias("embedding"))
 
@@ -408,8 +412,9 @@ def run_features(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, order: Sequen
     rows = hub_type_changed(rows, **options)
     rows = rows.withColumns(clock.calendar(F.col("event_time"))).withColumns(clock.cyclic(F.col("event_time")))
     rows = rows.withColumn("time_gap_log", F.log1p("time_gap_seconds"))
+    raw = df.withColumn("hour", F.hour("event_time"))  # counted below the windows
     for column, name in (("location_id", "location_entropy"), ("hour", "time_entropy"), ("operator_id", "operator_entropy")):
-        rows = join_on(rows, entropy(rows.select(*keys, column), column, "smoothed", keys=keys, name=name), keys)
+        rows = join_on(rows, entropy(raw, column, "smoothed", keys=keys, name=name, hot=hot), keys)
     return rows
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanwarden.functions import clock, epc
 from scanwarden.operators.windows import time_gap
-from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, join_on, quantiles
+from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, join_on, quantiles, with_key_stats
 
 Hot = HotKeys | str | None
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -283,17 +283,18 @@ ENTROPY_VARIANTS = ("plain", "normalized", "guarded", "smoothed", "jeffreys", "s
 
 
 def entropy(df: DataFrame, column: str, variant: str = "plain", *, keys: Sequence[str] = EPC_KEYS,
-            name: str | None = None) -> DataFrame:
+            name: str | None = None, hot: Hot = MEASURE) -> DataFrame:
     """Entropy (bits) of a column's values per item.
 
     plain; normalized by the largest possible; guarded (+1e-10 in the logarithm, 0 for one
     row); smoothed (+0.01, 0 below three rows); jeffreys (+0.5, over 1.5 k, 0 below three
     rows); similarity (+1e-8, 0 for one value).
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    totals = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count(column).alias("_total"))
-    kinds = counted.groupBy(*keys).agg(F.count("*").alias("_kinds"))
-    rows = join_on(join_on(counted, totals, keys), kinds, keys)
+    counted = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    known = F.col(column).isNotNull()
+    rows = with_key_stats(counted, {
+        "_rows": F.sum("_n"), "_total": F.sum(F.when(known, F.col("_n"))), "_kinds": F.count(column)}, keys=keys, hot=hot)
+    rows = rows.where(known)
     p, k = F.col("_n") / F.col("_total"), F.col("_kinds")
     if variant in ("plain", "normalized"):
         term = p * F.log2(p)
@@ -310,7 +311,7 @@ def entropy(df: DataFrame, column: str, variant: str = "plain", *, keys: Sequenc
     else:
         raise ValueError(f"unknown variant {variant}")
     out = rows.groupBy(*keys).agg(
-        (-F.sum(term)).alias("_e"), F.first("_rows").alias("_rows"), F.first("_kinds").alias("_kinds"))
+        (-F.sum(term)).alias("_e"), F.max("_rows").alias("_rows"), F.max("_kinds").alias("_kinds"))
     value = F.col("_e")
     if variant == "normalized":
         value = F.when(F.col("_kinds") > 1, value / F.log2(F.col("_kinds").cast("double"))).otherwise(value)
@@ -343,7 +344,7 @@ def epc_behaviour(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, order: Seque
         "gap_cv": F.when(F.col("gap_mean") > 0, F.col("gap_std") / F.col("gap_mean")).otherwise(0.0)})
 
 
-def epc_profile(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS) -> DataFrame:
+def epc_profile(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, hot: Hot = MEASURE) -> DataFrame:
     """What an item looks like when compared with others: size, duration, diversity, habits."""
     hour, weekday = F.hour("event_time"), F.weekday("event_time")
     base = df.groupBy(*keys).agg(
@@ -354,7 +355,7 @@ def epc_profile(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS) -> DataFrame:
     base = base.withColumn("scan_frequency", F.col("total_scans") / F.col("scan_duration_hours"))
     with_hour = df.withColumn("_hour", hour)
     for column, name in (("location_id", "location_entropy"), ("_hour", "time_entropy")):
-        base = join_on(base, entropy(with_hour, column, "similarity", keys=keys, name=name), keys)
+        base = join_on(base, entropy(with_hour, column, "similarity", keys=keys, name=name, hot=hot), keys)
     for column, name in (("location_id", "unique_locations"), ("business_step", "business_step_count")):
         kinds = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.lit(1).alias("one"))
         base = join_on(base, kinds.groupBy(*keys).agg(F.count("*").alias(name)), keys)

@@ -66,17 +66,12 @@ def temporal_split(df: DataFrame, test_ratio: float = 0.2, buffer_days: int = 7)
     return rows.withColumn("split", part).where(F.col("split").isNotNull()).drop("_split")
 
 
-def epc_temporal_split(df: DataFrame, test_ratio: float = 0.2, buffer_days: int = 7, variant: str = "near",
-                       keys: Sequence[str] = ("epc_code",)) -> DataFrame:
-    """Adds ``split`` so that no item is in both parts, and ``boundary`` for items at the split.
-
-    ``near``: items with an event within the buffer around the split go to train, as do items
-    with events before and after it. ``span``: items that start before the buffer and end after
-    the split go to train. If every item is a boundary item, plain time decides.
-    """
+def split_rules(df: DataFrame, test_ratio: float = 0.2, buffer_days: int = 7, variant: str = "near",
+                keys: Sequence[str] = ("epc_code",)) -> tuple[DataFrame, DataFrame]:
+    """The split time (one row) and per item whether it lies on the boundary."""
     time = _split_time(df, test_ratio)
     us, gap = F.unix_micros("event_time"), buffer_days * DAY_US
-    rows = df.crossJoin(F.broadcast(time))
+    rows = df.select(*keys, "event_time").crossJoin(F.broadcast(time))
     early, late = us <= F.col("_split") - gap, us >= F.col("_split")
     near = us.between(F.col("_split") - gap, F.col("_split") + gap)
     items = rows.groupBy(*keys).agg(
@@ -84,19 +79,37 @@ def epc_temporal_split(df: DataFrame, test_ratio: float = 0.2, buffer_days: int
     both = F.col("_early") & F.col("_late")
     items = items.withColumn("boundary", (F.col("_near") | both) if variant == "near" else both)
     if variant == "span":
-        spread = items.agg(F.min("boundary").alias("_all"))
-        items = items.crossJoin(F.broadcast(spread))
+        items = items.crossJoin(F.broadcast(items.agg(F.min("boundary").alias("_all"))))
     else:
         items = items.withColumn("_all", F.lit(False))
-    out = join_on(rows, items.select(*keys, "boundary", "_all"), keys)
+    return time, items.select(*keys, "boundary", "_all")
+
+
+def apply_split(df: DataFrame, rules: tuple[DataFrame, DataFrame], buffer_days: int = 7,
+                keys: Sequence[str] = ("epc_code",)) -> DataFrame:
+    """Adds ``split`` and ``boundary`` by rules measured before; rows in the buffer are left out."""
+    time, items = rules
+    us, gap = F.unix_micros("event_time"), buffer_days * DAY_US
+    out = join_on(df.crossJoin(F.broadcast(time)), items, keys)
     part = (
         F.when(F.col("_all"), F.when(us <= F.col("_split"), "train").otherwise("test"))
-        .when(F.col("boundary") | early, "train").when(late, "test")
+        .when(F.col("boundary") | (us <= F.col("_split") - gap), "train").when(us >= F.col("_split"), "test")
     )
     out = out.withColumn("split", part).withColumn("boundary", F.col("boundary") & ~F.col("_all"))
     return out.where(F.col("split").isNotNull()).drop("_split", "_all")
 
 
+def epc_temporal_split(df: DataFrame, test_ratio: float = 0.2, buffer_days: int = 7, variant: str = "near",
+                       keys: Sequence[str] = ("epc_code",)) -> DataFrame:
+    """Adds ``split`` so that no item is in both parts, and ``boundary`` for items at the split.
+
+    ``near``: items with an event within the buffer around the split go to train, as do items
+    with events before and after it. ``span``: items that start before the buffer and end after
+    the split go to train. If every item is a boundary item, plain time decides.
+    """
+    return apply_split(df, split_rules(df, test_ratio, buffer_days, variant, keys), buffer_days, keys)
+
+
 def split_overlap(df: DataFrame, keys: Sequence[str] = ("epc_code",)) -> DataFrame:
     """Items in both parts; must be empty."""
     train = df.where(F.col("split") == "train").select(*keys)

@@ -55,8 +55,9 @@ def prepare_sequences(scans: DataFrame, columns: Sequence[str], test_ratio: floa
     """Features, labels from features, leakage-free split and adaptive windows, tagged with ``split``."""
     if hot == MEASURE:
         hot = hot_keys(scans)
+    keys = ("file_id", "epc_code")
+    # the split is measured on the scans, so the feature plan is evaluated once
+    rules = sampling.split_rules(scans, test_ratio, buffer_days, keys=keys)
     rows = labels.simulation_labels(features.run_features(scans, hot=hot))
-    rows = sampling.epc_temporal_split(rows, test_ratio, buffer_days, keys=("file_id", "epc_code"))
-    windows = features.sequences_adaptive(rows, columns, C.STATS_TYPES, hot=hot, **lengths)
-    parts = rows.select("file_id", "epc_code", "split").distinct()
-    return join_on(windows, parts, ["file_id", "epc_code"], "inner")
+    rows = sampling.apply_split(rows, rules, buffer_days, keys)
+    return features.sequences_adaptive(rows, columns, C.STATS_TYPES, keep=["split"], hot=hot, **lengths)

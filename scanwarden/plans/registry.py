@@ -56,10 +56,10 @@ def register_sql_functions(spark: SparkSession) -> None:
     parts = "split(trim(code), '[.]', -1)"
     fake = (
         f"CASE WHEN code IS NULL OR size({parts}) <> {C.EPC_PARTS} THEN {C.SCORE_MAX} "
-        f"WHEN {parts}[0] <> '{C.VALID_HEADER}' AND {parts}[1] NOT IN ({companies}) AND mfg_date_status({parts}[4], as_of) <> 'valid' THEN {C.SCORE_MAX} "
-        f"ELSE least({C.SCORE_MAX}, if({parts}[0] = '{C.VALID_HEADER}', 0, {C.SCORE_HEADER}) + if({parts}[1] IN ({companies}), 0, {C.SCORE_COMPANY}) "
-        f"+ if({parts}[2] RLIKE '^[0-9]{{{C.PRODUCT_DIGITS}}}$', 0, {C.SCORE_PRODUCT}) + if({parts}[3] RLIKE '^[0-9]{{{C.LOT_DIGITS}}}$', 0, {C.SCORE_LOT}) "
-        f"+ if({parts}[5] RLIKE '^[0-9]{{{C.SERIAL_DIGITS}}}$', 0, {C.SCORE_SERIAL}) + CASE mfg_date_status({parts}[4], as_of) WHEN 'valid' THEN 0 "
+        f"WHEN get({parts}, 0) <> '{C.VALID_HEADER}' AND get({parts}, 1) NOT IN ({companies}) AND mfg_date_status(get({parts}, 4), as_of) <> 'valid' THEN {C.SCORE_MAX} "
+        f"ELSE least({C.SCORE_MAX}, if(get({parts}, 0) = '{C.VALID_HEADER}', 0, {C.SCORE_HEADER}) + if(get({parts}, 1) IN ({companies}), 0, {C.SCORE_COMPANY}) "
+        f"+ if(get({parts}, 2) RLIKE '^[0-9]{{{C.PRODUCT_DIGITS}}}$', 0, {C.SCORE_PRODUCT}) + if(get({parts}, 3) RLIKE '^[0-9]{{{C.LOT_DIGITS}}}$', 0, {C.SCORE_LOT}) "
+        f"+ if(get({parts}, 5) RLIKE '^[0-9]{{{C.SERIAL_DIGITS}}}$', 0, {C.SCORE_SERIAL}) + CASE mfg_date_status(get({parts}, 4), as_of) WHEN 'valid' THEN 0 "
         f"WHEN 'too_old' THEN {C.SCORE_DATE_OLD} ELSE {C.SCORE_DATE} END) END")
     functions = {
         "location_level(name STRING) RETURNS INT": level,
