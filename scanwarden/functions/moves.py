@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanwarden import constants as C
@@ -39,6 +39,35 @@ def classify_event(event_type: Column) -> Column:
     return F.struct(direction.otherwise("other").alias("direction"), step.otherwise("unknown").alias("step"))
 
 
+def with_event_kind(df: DataFrame, type_column: str, name: str = "_kind") -> DataFrame:
+    """Adds ``direction/step`` as one text; the type is lower-cased once per row in its own projection."""
+    df = df.withColumn("_type_lower", F.lower(F.coalesce(F.col(type_column), F.lit(""))))
+    lower = F.col("_type_lower")
+    kind = F.when(lower == "", "missing/unknown")
+    for word, way, where in C.EVENT_KEYWORDS:
+        kind = kind.when(lower.contains(word), f"{way}/{where}")
+    return df.withColumn(name, kind.otherwise("other/unknown")).drop("_type_lower")
+
+
+def stage_of_kind(kind: Column) -> Column:
+    """Stage of a ``direction/step`` text."""
+    out = None
+    for _, way, where in C.EVENT_KEYWORDS:
+        test, stage = kind == f"{way}/{where}", C.STAGE_OF_STEP[where]
+        out = F.when(test, stage) if out is None else out.when(test, stage)
+    return out
+
+
+def with_location_level(df: DataFrame, name: str = "_level", place: str = "scan_location") -> DataFrame:
+    """Adds the hierarchy level; the place is lower-cased once per row in its own projection."""
+    df = df.withColumn("_place_lower", F.lower(F.trim(F.col(place))))
+    lower = F.col("_place_lower")
+    level = F.when(lower.isNull(), C.UNKNOWN_LEVEL)
+    for word, rank in C.LOCATION_KEYWORDS:
+        level = level.when(lower.contains(word), rank)
+    return df.withColumn(name, level.otherwise(C.UNKNOWN_LEVEL)).drop("_place_lower")
+
+
 def event_stage(event_type: Column) -> Column:
     """production / logistics / retail, null for other events."""
     step = classify_event(event_type)["step"]

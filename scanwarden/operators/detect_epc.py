@@ -32,11 +32,8 @@ def _repeat_points() -> Column:
     The second of a run scores 25, the third 40, later ones at least 55; a run of four has
     reached the cap of 100 already, so looking three events back is exact.
     """
-    moving = F.col("_way").isin("inbound", "outbound")
-    again = [
-        F.coalesce((F.col("_way") == F.col(f"_way{n}")) & (F.col("_where") == F.col(f"_where{n}")), F.lit(False))
-        for n in (1, 2, 3)
-    ]
+    moving = F.col("_kind").startswith("inbound") | F.col("_kind").startswith("outbound")
+    again = [F.coalesce(F.col("_kind") == F.col(f"_kind{n}"), F.lit(False)) for n in (1, 2, 3)]
     one = moving & again[0]
     two, three = one & again[1], one & again[1] & again[2]
     return (
@@ -47,13 +44,8 @@ def _repeat_points() -> Column:
     )
 
 
-def _classified(df: DataFrame, type_column: str) -> DataFrame:
-    kind = moves.classify_event(F.col(type_column))
-    return df.withColumns({"_way": kind["direction"], "_where": kind["step"]})
-
-
 def _three_back(df: DataFrame, s: Steps) -> DataFrame:
-    return df.withColumns({f"{c}{n}": s.back(c, n) for c in ("_way", "_where") for n in (1, 2, 3)})
+    return df.withColumns({f"_kind{n}": s.back("_kind", n) for n in (1, 2, 3)})
 
 
 def _level_points() -> Column:
@@ -74,7 +66,7 @@ def epc_event_order(
     order: Sequence[str] = EVENT_ORDER, hot: HotKeys | str | None = MEASURE,
 ) -> DataFrame:
     """Order score per item: runs of the same direction and step."""
-    rows = over_sequence(_classified(df, type_column), _three_back, keys=keys, order=order, before=3, hot=hot)
+    rows = over_sequence(moves.with_event_kind(df, type_column), _three_back, keys=keys, order=order, before=3, hot=hot)
     return rows.groupBy(*keys).agg(_capped(_repeat_points()).alias("evtOrderErr"))
 
 
@@ -83,7 +75,7 @@ def epc_location_error(
     hot: HotKeys | str | None = MEASURE,
 ) -> DataFrame:
     """Location score per item: steps down the hierarchy and unknown places."""
-    rows = df.withColumn("_level", moves.location_level(F.col("scan_location")))
+    rows = moves.with_location_level(df)
     rows = over_sequence(rows, lambda d, s: d.withColumn("_p_level", s.back("_level")), keys=keys, order=order, hot=hot)
     return rows.groupBy(*keys).agg(_capped(_level_points()).alias("locErr"))
 
@@ -126,7 +118,7 @@ def detect_epc(
     """
     if hot == MEASURE:
         hot = hot_keys(df, keys)
-    rows = _classified(df, "event_type").withColumn("_level", moves.location_level(F.col("scan_location")))
+    rows = moves.with_location_level(moves.with_event_kind(df, "event_type"))
     for optional in ("product_name", "business_step"):
         if optional not in rows.columns:
             rows = rows.withColumn(optional, F.lit(None).cast("string"))

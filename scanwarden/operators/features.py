@@ -94,10 +94,8 @@ def order_features(df: DataFrame, *, type_column: str = "event_type", strict: bo
     ``strict`` leaves the stage features at 0, as an implementation does that compares
     (direction, step) pairs with stage names.
     """
-    kind = moves.classify_event(F.col(type_column))
-    stage = moves.event_stage(F.col(type_column))
-    rows = df.withColumn("_kind", F.concat_ws("/", kind["direction"], kind["step"]))
-    rows = rows.withColumn("_stage", F.lit(None).cast("string") if strict else stage)
+    rows = moves.with_event_kind(df, type_column)
+    rows = rows.withColumn("_stage", F.lit(None).cast("string") if strict else moves.stage_of_kind(F.col("_kind")))
     rows = rows.withColumn("_rank", moves.stage_rank(F.col("_stage")))
 
     def look(d: DataFrame, s: Steps) -> DataFrame:
@@ -127,8 +125,7 @@ def order_features(df: DataFrame, *, type_column: str = "event_type", strict: bo
 
 def _levels(df: DataFrame) -> DataFrame:
     """Hierarchy level of the place, -1 when unknown."""
-    level = moves.location_level(F.col("scan_location"))
-    return df.withColumn("_level", level).withColumn(
+    return moves.with_location_level(df).withColumn(
         "_level", F.when(F.col("_level") == C.UNKNOWN_LEVEL, -1).otherwise(F.col("_level")))
 
 
@@ -237,7 +234,8 @@ def jump_features_per_event(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, or
 def order_violations(df: DataFrame, *, type_column: str = "event_type", keys: Sequence[str] = EPC_KEYS,
                      order: Sequence[str] = EVENT_ORDER, hot: Hot = MEASURE) -> DataFrame:
     """One row per event whose stage lies before that of its predecessor."""
-    rows = df.withColumn("_stage", moves.event_stage(F.col(type_column)))
+    rows = moves.with_event_kind(df, type_column)
+    rows = rows.withColumn("_stage", moves.stage_of_kind(F.col("_kind")))
     rows = over_sequence(rows, lambda d, s: d.withColumns({
         "_from": s.back("_stage"), "_pos": s.position()}), keys=keys, order=order, hot=hot)
     bad = moves.stage_rank(F.col("_stage")) < moves.stage_rank(F.col("_from"))

@@ -29,7 +29,7 @@ EVENT_ORDER = ("event_time", "event_id")
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 
-_PIECE, _HELPER, _OFFSET = "_piece", "_helper", "_offset"
+_PIECE, _HELPER, _OFFSET = "_sq_piece", "_sq_helper", "_sq_offset"
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -157,7 +157,7 @@ def _pieces(df: DataFrame, keys, order, hot: HotKeys) -> DataFrame:
 def _piece_table(df: DataFrame, keys, order, carry: Sequence[str] = ()) -> DataFrame:
     """One row per (key, piece): size, rows before it, carried values. As many rows as pieces."""
     stamp = F.struct(*order)
-    aggs = [F.count("*").alias("_size")]
+    aggs = [F.count("*").alias("_sq_size")]
     for c in carry:
         known = F.col(c).isNotNull()
         aggs.append(F.max_by(F.col(c), F.when(known, stamp)).alias(f"_last_{c}"))
@@ -166,8 +166,8 @@ def _piece_table(df: DataFrame, keys, order, carry: Sequence[str] = ()) -> DataF
     w = Window.partitionBy(*keys).orderBy(_PIECE)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     later = w.rowsBetween(1, Window.unboundedFollowing)
-    table = table.withColumn("_number", F.row_number().over(w))
-    table = table.withColumn("_rows_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    table = table.withColumn("_sq_number", F.row_number().over(w))
+    table = table.withColumn("_sq_rows_before", F.coalesce(F.sum("_sq_size").over(earlier), F.lit(0)))
     for c in carry:
         table = table.withColumn(f"_prior_{c}", F.last(f"_last_{c}", True).over(earlier))
         table = table.withColumn(f"_later_{c}", F.first(f"_first_{c}", True).over(later))
@@ -178,31 +178,31 @@ def _edge_copies(df, pieces, keys, order, count: int, ahead: bool) -> DataFrame:
     """Copies of up to ``count`` rows next to each piece, labelled with that piece."""
     direction = [F.col(o).asc() if ahead else F.col(o).desc() for o in order]
     near = Window.partitionBy(*keys, _PIECE).orderBy(*direction)
-    edge = df.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= count).drop("_rank")
-    numbers = pieces.select(*keys, _PIECE, "_number")
+    edge = df.withColumn("_sq_rank", F.row_number().over(near)).where(F.col("_sq_rank") <= count).drop("_sq_rank")
+    numbers = pieces.select(*keys, _PIECE, "_sq_number")
     edge = join_on(edge, numbers, [*keys, _PIECE], "inner")
     sign = -1 if ahead else 1
-    target = edge.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(count))))
-    target = target.withColumn("_number", F.col("_number") + F.lit(sign) * F.col("_step"))
-    target = target.drop("_step", _PIECE)
-    target = join_on(target, numbers, [*keys, "_number"], "inner")
+    target = edge.withColumn("_sq_step", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    target = target.withColumn("_sq_number", F.col("_sq_number") + F.lit(sign) * F.col("_sq_step"))
+    target = target.drop("_sq_step", _PIECE)
+    target = join_on(target, numbers, [*keys, "_sq_number"], "inner")
     best = Window.partitionBy(*keys, _PIECE).orderBy(*direction)
-    return target.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= count).drop("_rank", "_number")
+    return target.withColumn("_sq_rank", F.row_number().over(best)).where(F.col("_sq_rank") <= count).drop("_sq_rank", "_sq_number")
 
 
 def _with_helpers(df, keys, order, before, after, carry) -> DataFrame:
     pieces = _piece_table(df, keys, order, carry)
-    rows = df.withColumn(_HELPER, F.lit(False)).withColumn("_lead_in", F.lit(0).cast("long"))
+    rows = df.withColumn(_HELPER, F.lit(False)).withColumn("_sq_lead_in", F.lit(0).cast("long"))
     if before:
         copies = _edge_copies(df, pieces, keys, order, before, ahead=False)
-        rows = rows.unionByName(copies.withColumn(_HELPER, F.lit(True)).withColumn("_lead_in", F.lit(1).cast("long")))
+        rows = rows.unionByName(copies.withColumn(_HELPER, F.lit(True)).withColumn("_sq_lead_in", F.lit(1).cast("long")))
     if after:
         copies = _edge_copies(df, pieces, keys, order, after, ahead=True)
-        rows = rows.unionByName(copies.withColumn(_HELPER, F.lit(True)).withColumn("_lead_in", F.lit(0).cast("long")))
-    info = pieces.select(*keys, _PIECE, "_rows_before", *[f"_prior_{c}" for c in carry], *[f"_later_{c}" for c in carry])
+        rows = rows.unionByName(copies.withColumn(_HELPER, F.lit(True)).withColumn("_sq_lead_in", F.lit(0).cast("long")))
+    info = pieces.select(*keys, _PIECE, "_sq_rows_before", *[f"_prior_{c}" for c in carry], *[f"_later_{c}" for c in carry])
     rows = join_on(rows, broadcast_if_small(info), [*keys, _PIECE], "inner")
-    lead_in = F.sum("_lead_in").over(Window.partitionBy(*keys, _PIECE))
-    return rows.withColumn(_OFFSET, F.col("_rows_before") - lead_in).drop("_lead_in", "_rows_before")
+    lead_in = F.sum("_sq_lead_in").over(Window.partitionBy(*keys, _PIECE))
+    return rows.withColumn(_OFFSET, F.col("_sq_rows_before") - lead_in).drop("_sq_lead_in", "_sq_rows_before")
 
 
 def with_key_stats(
