@@ -12,7 +12,7 @@ from scanwarden import constants as C
 from scanwarden.functions import clock, epc, moves, verdicts
 from scanwarden.operators.detect_events import travel_scores
 from scanwarden.skew import (
-    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, hot_keys, join_on, over_sequence, with_key_stats)
+    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, colocated, hot_keys, join_on, over_sequence, with_key_stats)
 
 
 def normalize_scans(df: DataFrame) -> DataFrame:
@@ -66,7 +66,10 @@ def epc_event_order(
     order: Sequence[str] = EVENT_ORDER, hot: HotKeys | str | None = MEASURE,
 ) -> DataFrame:
     """Order score per item: runs of the same direction and step."""
-    rows = over_sequence(moves.with_event_kind(df, type_column), _three_back, keys=keys, order=order, before=3, hot=hot)
+    if hot == MEASURE:
+        hot = hot_keys(df, keys)
+    rows = moves.with_event_kind(colocated(df, keys, hot), type_column)
+    rows = over_sequence(rows, _three_back, keys=keys, order=order, before=3, hot=hot)
     return rows.groupBy(*keys).agg(_capped(_repeat_points()).alias("evtOrderErr"))
 
 
@@ -75,7 +78,9 @@ def epc_location_error(
     hot: HotKeys | str | None = MEASURE,
 ) -> DataFrame:
     """Location score per item: steps down the hierarchy and unknown places."""
-    rows = moves.with_location_level(df)
+    if hot == MEASURE:
+        hot = hot_keys(df, keys)
+    rows = moves.with_location_level(colocated(df, keys, hot))
     rows = over_sequence(rows, lambda d, s: d.withColumn("_p_level", s.back("_level")), keys=keys, order=order, hot=hot)
     return rows.groupBy(*keys).agg(_capped(_level_points()).alias("locErr"))
 
@@ -118,7 +123,7 @@ def detect_epc(
     """
     if hot == MEASURE:
         hot = hot_keys(df, keys)
-    rows = moves.with_location_level(moves.with_event_kind(df, "event_type"))
+    rows = moves.with_location_level(moves.with_event_kind(colocated(df, keys, hot), "event_type"))
     for optional in ("product_name", "business_step"):
         if optional not in rows.columns:
             rows = rows.withColumn(optional, F.lit(None).cast("string"))

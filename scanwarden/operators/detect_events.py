@@ -107,9 +107,10 @@ def detect_events(
     if hot == MEASURE:
         hot = hot_keys(df, keys)
 
-    # scored below the window, so that the final filter does not evaluate the score again
-    found = over_sequence(epc.with_fake_score(df, as_of, "_fake"), _previous, keys=keys, order=order, hot=hot)
+    found = over_sequence(df, _previous, keys=keys, order=order, hot=hot)
     found = found.withColumns({"_order": _order_flag(use_direction), "_loc": _location_flag()}).drop(*PREVIOUS)
+    # scored between two windows: the final filter cannot be pushed down and evaluate the score again
+    found = epc.with_fake_score(found, as_of, "_fake")
     if hot is None:
         # same partitioning and sort as the sequence window: no further exchange
         ties = Window.partitionBy(*keys, "event_time")

@@ -13,7 +13,7 @@ from scanwarden.functions.sequences import left_padded, normalized
 from scanwarden.operators.profile import entropy, epc_profile, long_form
 from scanwarden.operators.windows import gap_zscore, hub_type_changed, location_moves, rolling_gap, scan_position, step_moves, time_gap
 from scanwarden.skew import (
-    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, hot_keys, join_on, over_sequence, quantiles, with_key_stats)
+    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, colocated, hot_keys, join_on, over_sequence, quantiles, with_key_stats)
 
 Hot = HotKeys | str | None
 
@@ -94,7 +94,9 @@ def order_features(df: DataFrame, *, type_column: str = "event_type", strict: bo
     ``strict`` leaves the stage features at 0, as an implementation does that compares
     (direction, step) pairs with stage names.
     """
-    rows = moves.with_event_kind(df, type_column)
+    if hot == MEASURE:
+        hot = hot_keys(df, keys)
+    rows = moves.with_event_kind(colocated(df, keys, hot), type_column)
     rows = rows.withColumn("_stage", F.lit(None).cast("string") if strict else moves.stage_of_kind(F.col("_kind")))
     rows = rows.withColumn("_rank", moves.stage_rank(F.col("_stage")))
 
@@ -132,7 +134,9 @@ def _levels(df: DataFrame) -> DataFrame:
 def location_features(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, order: Sequence[str] = EVENT_ORDER,
                       hot: Hot = MEASURE) -> DataFrame:
     """Fifteen numbers about places and their hierarchy."""
-    rows = _levels(df).withColumn("_known", F.when(F.col("_level") >= 0, F.col("_level")))
+    if hot == MEASURE:
+        hot = hot_keys(df, keys)
+    rows = _levels(colocated(df, keys, hot)).withColumn("_known", F.when(F.col("_level") >= 0, F.col("_level")))
     rows = over_sequence(rows, lambda d, s: d.withColumns({
         "_prev": s.back("_level"), "_prev_known": s.last_known("_known")}),
         keys=keys, order=order, carry=["_known"], hot=hot)

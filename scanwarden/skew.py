@@ -205,6 +205,15 @@ def _with_helpers(df, keys, order, before, after, carry) -> DataFrame:
     return rows.withColumn(_OFFSET, F.col("_sq_rows_before") - lead_in).drop("_sq_lead_in", "_sq_rows_before")
 
 
+def colocated(df: DataFrame, keys: Sequence[str], hot: HotKeys | None) -> DataFrame:
+    """Exchange on the keys now, so that costly columns are computed on the balanced side of it.
+
+    Windows and aggregates on the same keys reuse this partitioning, so the plan keeps one
+    exchange. With hot keys nothing is moved here; ``over_sequence`` spreads those rows.
+    """
+    return df.repartition(*keys) if hot is None else df
+
+
 def with_key_stats(
     df: DataFrame,
     stats: dict[str, Column],
