@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,19 +21,25 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _DIGITS = b"0123456789"
 _SPACES = b" \t\n\x0b\x0c\r"
 _STOPS = b".,;:?"
-NAMES = ("length", "word_length", "upper", "letters", "digits", "symbols", "stops", "spaces", "distinct", "commonest", "repeats",
-         "lines", "distinct_lines", "shortest_period")
+NAMES = ("length", "word_length", "upper", "letters", "symbols", "stops", "distinct", "commonest", "repeats", "lines", "repeated_lines", "halves")
+#: Usual shares, counted as so many characters or words before a text's own: a short text says little about its shares.
+_USUAL = {"upper": 0.03, "letters": 0.82, "symbols": 0.003, "stops": 0.02, "commonest": 0.07, "repeats": 0.01, "repeated_lines": 0.02}
+_BEFORE = 40
 
 
 def statistics(text: bytes) -> list[float]:
-    """Transformed statistics of a whole text: logs of sizes, log odds of shares (with half a count added)."""
+    """Transformed statistics of a whole text: logs of sizes and log odds of shares.
+
+    Digits count neither as letters nor as symbols.
+    """
     n = len(text)
     words = text.split()
     w = len(words)
     lines = text.split(b"\n")
 
-    def odds(part: float, whole: float) -> float:
-        return float(np.log((part + 0.5) / (max(whole - part, 0) + 0.5)))
+    def odds(name: str, part: float, whole: float) -> float:
+        share = (part + _BEFORE * _USUAL[name]) / (max(whole, part) + _BEFORE)
+        return math.log(share / (1 - share))
 
     letters = n - len(text.translate(None, _LETTERS))
     digits = n - len(text.translate(None, _DIGITS))
@@ -40,15 +47,14 @@ def statistics(text: bytes) -> list[float]:
     stops = n - len(text.translate(None, _STOPS))
     upper = n - len(text.translate(None, _UPPER))
     counts = Counter(words)
-    distinct = len(counts)
-    commonest = max(counts.values(), default=0)
     half = w // 2
     return [
-        float(np.log1p(w)), float(np.log((n - spaces + 1) / (w + 1))), odds(upper, letters), odds(letters, n), odds(digits, n),
-        odds(n - letters - digits - spaces - stops, n), odds(stops, n), odds(spaces, n),
-        float(np.log1p(distinct) - 0.7 * np.log1p(w)), odds(commonest, w), odds(sum(map(eq, words, words[1:])), w),
-        float(np.log((w + 1) / (len(lines) + 1))), odds(len(lines) - len(set(lines)), len(lines)),
-        float(np.log((len(set(words[:half])) + 1) / (len(set(words[half:])) + 1))),
+        math.log(w + 20), math.log((n - spaces + 5.5 * _BEFORE) / (w + _BEFORE)), odds("upper", upper, letters), odds("letters", letters, n),
+        odds("symbols", n - letters - digits - spaces - stops, n), odds("stops", stops, n),
+        math.log(len(counts) + 20) - 0.75 * math.log(w + 20), odds("commonest", max(counts.values(), default=0), w),
+        odds("repeats", sum(map(eq, words, words[1:])), w), math.log((w + 40) / (len(lines) + 1)),
+        odds("repeated_lines", len(lines) - len(set(lines)), len(lines)),
+        math.log((len(set(words[:half])) + 20) / (len(set(words[half:])) + 20)),
     ]
 
 
@@ -100,7 +106,7 @@ class Discriminant:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), logs[0] - logs[1]))))
 
 
-def fit(statistics: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: float = 0.05, floor: float = 1e-3) -> Discriminant | None:
+def fit(statistics: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: float = 0.1, floor: float = 0.03) -> Discriminant | None:
     """Fits both classes from all labelled rows that are not held out; None without rows of both.
 
     Sums and products are added up by Spark, so the driver sees one row per class. Each covariance is shrunk towards
