@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -21,25 +22,41 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 }
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """Distinct words: runs of letters, digits and non-ASCII characters, A-Z lower-cased."""
-    return set(text.translate(PLAIN_WORDS).split())
+#: Lengths of the beginnings: inflected and compound words share them.
+BEGINNINGS = (5, 7)
+LENGTH = "*"  # no word
+
+
+def features_of(text: bytes, known: Mapping[str, int] | None = None) -> Counter[str]:
+    """Words (runs of letters, digits and non-ASCII characters, A-Z lower-cased) and the beginnings of longer words, each with
+    how often it occurs, and under ``LENGTH`` the number of words; only those in ``known`` if that is given."""
+    found: Counter[str] = Counter()
+    words = text.translate(PLAIN_WORDS).decode("utf-8", "replace").split()
+    for w, times in Counter(words).items():
+        for name in (w, *[w[:n] + "*" for n in BEGINNINGS if len(w) > n]):
+            if known is None or name in known:
+                found[name] += times
+    if words:
+        found[LENGTH] = len(words)
+    return found
 
 
 @dataclass(frozen=True)
 class Chain:
-    """Words with their columns, and per link its name, word weights, weights of earlier links, and intercept."""
+    """Features with their columns, and per link its name, feature weights, weights of earlier links, and intercept."""
 
-    vocabulary: Mapping[bytes, int]
+    vocabulary: Mapping[str, int]
     links: Sequence[tuple[str, np.ndarray, np.ndarray, float]]
 
-    def probabilities(self, found: list[list[int]]) -> np.ndarray:
-        """A column for each link; ``found`` lists the known words of each document."""
+    def probabilities(self, found: list[Mapping[str, int]]) -> np.ndarray:
+        """A column for each link; ``found`` has the known features of each document."""
         out = np.zeros((len(found), len(self.links)))
+        size = sum(map(len, found))
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        flat = np.fromiter((w for x in found for w in x), np.int64, len(owner))
+        places = np.fromiter((self.vocabulary[w] for x in found for w in x), np.int64, size)
+        values = np.log1p(np.fromiter((n for x in found for n in x.values()), float, size))
         for k, (_, words, earlier, intercept) in enumerate(self.links):
-            z = np.bincount(owner, words[flat], len(found)) if len(flat) else np.zeros(len(found))
+            z = np.bincount(owner, words[places] * values, len(found)) if size else np.zeros(len(found))
             out[:, k] = _logistic(z + out[:, :k] @ earlier + intercept)
         return out
 
@@ -65,13 +82,15 @@ def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float
     return beta
 
 
-def train_chain(found: list[list[int]], vocabulary: list[bytes], labels: dict[str, np.ndarray], weight: np.ndarray,
-                fold: np.ndarray, penalty: float = 1.0) -> Chain:
+def train_chain(found: list[Mapping[str, int]], vocabulary: list[str], labels: dict[str, np.ndarray], weight: np.ndarray,
+                fold: np.ndarray, penalty: float = 0.3) -> Chain:
     """Fits the links in order. A later link sees the earlier ones' probabilities, which for training rows come from
     models that have not seen the row's fold."""
+    at = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(found), len(vocabulary)))
-    for i, words in enumerate(found):
-        x[i, words] = 1
+    for i, counts in enumerate(found):
+        for w, n in counts.items():
+            x[i, at[w]] = np.log1p(n)
     one = np.ones((len(found), 1))
     earlier = np.zeros((len(found), 0))
     links = []
@@ -86,16 +105,18 @@ def train_chain(found: list[list[int]], vocabulary: list[bytes], labels: dict[st
         v = x.shape[1]
         links.append((name, beta[:v], beta[v:-1], float(beta[-1])))
         earlier = np.hstack([earlier, unseen[:, None]])
-    return Chain({w: i for i, w in enumerate(vocabulary)}, links)
+    return Chain(at, links)
 
 
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic",
-        categories: Mapping[str, Sequence[str]] = CATEGORIES, most_rows: int = 4000, features: int = 200, folds: int = 5) -> Chain | None:
+        categories: Mapping[str, Sequence[str]] = CATEGORIES, most_rows: int = 4000, features: int = 200, least_gap: float = 5.0,
+        folds: int = 5) -> Chain | None:
     """Learns the chain from labelled rows that are not held out; None without rows of both kinds.
 
     The labels name no category, so a category's label is a toxic label on a text with one of its words; the last link is
-    the label itself. About ``most_rows`` rows of each kind are used, chosen by a hash of the id, and weighted back to
-    the share of their kind. The ``features`` words are those that tell toxic from other rows of the sample best.
+    the label itself. About ``most_rows`` rows of each kind are used, chosen by a hash of the id; both kinds weigh the
+    same, as a missed toxic text costs more than a false alarm. Up to ``features`` words take part, those that tell toxic from other
+    rows of the sample best, each by ``least_gap`` standard errors or more.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col(label).alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -107,41 +128,39 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = pa.array([sorted(words_of(x or b"")) for x in encoded(batch.column(2))], pa.list_(pa.binary()))
+            words = pa.array([list(features_of(x or b"").items()) for x in encoded(batch.column(2))], pa.map_(pa.string(), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], ["id", "y", "words"])
 
     # the sample has about 2 * most_rows rows of two numbers, whatever the size of the corpus
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text")).join(
         F.broadcast(sample), F.col("doc_id") == F.col("id"))
     kind = sample.schema["id"].dataType.simpleString()
-    read = written(rows.select("id", F.col("y").cast("int"), "text").mapInArrow(run, f"id {kind}, y int, words array<binary>"))
+    read = written(rows.select("id", F.col("y").cast("int"), "text").mapInArrow(run, f"id {kind}, y int, words map<string,int>"))
     sizes = {r["y"]: r["count"] for r in read.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
-    seen = read.select("y", F.explode("words").alias("word")).groupBy("word").agg(
+    seen = read.select("y", F.explode("words").alias("word", "times")).groupBy("word").agg(
         F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     p, q = F.col("a") / sizes[1], F.col("b") / sizes[0]
     mean = (F.col("a") + F.col("b")) / (sizes[0] + sizes[1])
     gap = (p - q) / F.sqrt(mean * (1 - mean) * (1 / sizes[0] + 1 / sizes[1]) + 1e-12)
-    best = seen.where(p > q).select("word", gap.alias("gap")).orderBy(F.desc("gap"), "word").limit(features).collect()
-    vocabulary = [bytes(r["word"]) for r in best]
-    place = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(vocabulary)], "word binary, place int")
-    hits = read.select("id", F.explode("words").alias("word")).join(F.broadcast(place), "word")
-    hits = read.select("id", "y").join(hits.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places")), "id", "left")
-    table = hits.select("id", "y", "places", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(folds)).alias("fold")).orderBy("id").collect()
-    found = [list(r["places"] or []) for r in table]
+    best = seen.where(p > q).select("word", gap.alias("gap")).where(F.col("gap") >= least_gap).orderBy(F.desc("gap"), "word").limit(features).collect()
+    vocabulary = [r["word"] for r in best if r["word"] != LENGTH] + [LENGTH]
+    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))
+    hits = read.select("id", F.explode("words").alias("word", "times")).join(known, "word")
+    hits = hits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "times"))).alias("counts"))
+    table = read.select("id", "y", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(folds)).alias("fold")).join(hits, "id", "left").orderBy("id").collect()
+    found = [r["counts"] or {} for r in table]
     y = np.array([r["y"] for r in table], float)
-    at = {w: i for i, w in enumerate(vocabulary)}
     told: dict[str, np.ndarray] = {}
     for name, seeds in categories.items():
-        places = {at[s.encode()] for s in seeds if s.encode() in at}
-        told[name] = y * np.array([bool(places.intersection(x)) for x in found], float)
+        told[name] = y * np.array([any(s in x for s in seeds) for x in found], float)
     told["toxic"] = y
-    weight = np.where(y == 1, totals[1] / sizes[1], totals[0] / sizes[0])
+    weight = np.where(y == 1, 1 / sizes[1], 1 / sizes[0])
     return train_chain(found, vocabulary, told, weight / weight.mean(), np.array([r["fold"] for r in table]))
 
 
-def score(docs: DataFrame, chain: Chain | None, ident: str = "doc_id", text: str = "text", cut: float = 0.5,
+def score(docs: DataFrame, chain: Chain | None, ident: str = "doc_id", text: str = "text", cut: float = 0.6,
           categories: Mapping[str, Sequence[str]] = CATEGORIES) -> DataFrame:
     """``doc_id``, a probability for each category (``p_<name>``), ``toxicity`` and ``toxic`` for each row of ``docs``.
 
@@ -157,8 +176,7 @@ def score(docs: DataFrame, chain: Chain | None, ident: str = "doc_id", text: str
                 p = np.zeros((batch.num_rows, len(names) + 1))
             else:
                 known = chain.vocabulary
-                keys = known.keys()
-                p = chain.probabilities([[known[w] for w in keys & words_of(x or b"")] for x in encoded(batch.column(1))])
+                p = chain.probabilities([features_of(x or b"", known) for x in encoded(batch.column(1))])
             columns = [pa.array(p[:, k]) for k in range(p.shape[1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(p[:, -1] >= cut)], ["doc_id", *names, "toxicity", "toxic"])
 
