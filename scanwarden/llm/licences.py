@@ -94,6 +94,11 @@ class Automaton:
                     stack.append(x)
         return frozenset(seen)
 
+    def share(self, length: int) -> float:
+        """Half for the mandatory wording, the rest by how much of the optional words an accepted run can hold."""
+        more = self.literals - self.required
+        return 1.0 if not more else 0.5 + 0.5 * min(1.0, max(0, length - self.required) / more)
+
     def accepts(self, words: Sequence[bytes], start: int) -> int | None:
         """Length of the longest accepted run of words from ``start``; None if there is none."""
         states, best = self.closed[0], None
@@ -145,7 +150,7 @@ def scan(text: bytes, phrases: Mapping[bytes, str], automata: Mapping[str, Autom
                 length = automaton.accepts(words, start)
                 if length and start + length > anchor:
                     every.add(ALIASES.get(label, label))
-                    score = max(score, min(1.0, (automaton.required + min(length, automaton.literals)) / (2 * max(automaton.literals, automaton.required))))
+                    score = max(score, automaton.share(length))
                     break
     if labels and not score:
         score = 0.5
@@ -161,8 +166,8 @@ def licences(docs: DataFrame, ident: str = "doc_id", text: str = "text", phrases
     """Licence labels of each whole text, one row per row of ``docs``.
 
     Returns ``doc_id``, ``n_words``, ``n_base`` (places of phrases), ``first_word`` and ``last_word`` (of those), ``base_labels``
-    and ``labels`` (arrays; the second adds templates that are matched), ``score`` (share of a template's wording that is
-    there: all that is mandatory, and as much of the optional; 0.5 for a phrase without template, 0 without any). A null
+    and ``labels`` (arrays; the second adds templates that are matched), ``score`` (0.5 for a phrase or a template's mandatory
+    wording, up to 1 with the optional; 0 without any). A null
     text counts as empty; an empty table gives no rows; other columns are ignored.
     """
     kind = docs.schema[ident].dataType.simpleString()
