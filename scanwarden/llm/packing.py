@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -22,31 +24,35 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and treats what stands between it on its own, so ids are kept per run of other
-    characters; the table is emptied when it has ``most`` entries.
+    The tokenizer lower-cases, drops white space and treats what stands between it on its own, so ids are kept per run of
+    other characters, A-Z lower-cased; the table is emptied when it has ``most`` entries. Texts are taken ``at_once``, so
+    that the tokenizer gets their new runs in one call.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000, at_once: int = 256):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
-        self.most = most
+        self.most, self.at_once = most, at_once
 
     def ids(self, texts_: list[bytes]) -> Iterator[bytes]:
-        for text in texts_:
-            words = text.split()
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self._learn(words)
+        for low in range(0, len(texts_), self.at_once):
+            split = [x.lower().split() for x in texts_[low : low + self.at_once]]
+            if len(self.known) > self.most:
+                self.known.clear()
+            new = [w for w in set().union(*split) if w not in self.known]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+            for w, e in zip(new, found):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, whatever the number of its tasks."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, ident: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -54,7 +60,7 @@ def token_pieces(docs: DataFrame, ident: str = "doc_id", text: str = "text", cap
     source = texts(docs, ident, text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         step = 4 * capacity
 
         def rows():
