@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from scanwarden.llm.shared import encoded
 
@@ -58,26 +58,23 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _statistics(values):
-    return values.map(lambda x: statistics(x.encode("utf-8", "replace")))
-
-
 def with_statistics(docs: DataFrame, text: str = "text", out: str = "statistics") -> DataFrame:
-    """Adds the array of ``statistics``; a null text counts as empty."""
-    return docs.withColumn(out, _statistics(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    """All columns, and the array of ``statistics``; a null text counts as empty."""
+    schema = StructType([f for f in docs.schema.fields if f.name != out] + [StructField(out, ArrayType(DoubleType()))])
+    names = schema.names[:-1]
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array([statistics(x or b"") for x in encoded(batch.column(at))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*names, out])
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def document_statistics(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``statistics`` of each row."""
-    kind = docs.schema[ident].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.array([statistics(x or b"") for x in encoded(batch.column(1))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "statistics"])
     source = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, statistics array<double>")
+    return with_statistics(source).select("doc_id", "statistics")
 
 
 def held_out(ident: Column) -> Column:

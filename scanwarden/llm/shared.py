@@ -123,7 +123,7 @@ def word_shingles(lowered: bytes, starts_at: np.ndarray, width: int = 5):
     return owner[:n][whole], first[:n][whole], end[width - 1 :][whole], mixed[whole]
 
 
-def laid_out(values: list[bytes], most_bytes: int = 2 << 20) -> Iterator[tuple[int, bytes, np.ndarray]]:
+def laid_out(values: list[bytes], most_bytes: int = 1 << 20) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Texts after ``PLAIN_WORDS``, end to end in pieces of about ``most_bytes`` (a longer text is a piece of its own):
     number of the first text, the bytes, the first byte of each."""
     held, size, first = [], 0, 0

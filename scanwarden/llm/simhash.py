@@ -79,7 +79,7 @@ def near_pairs(x: np.ndarray, distance: int, pivots: np.ndarray = PIVOTS) -> Ite
     order = np.argsort(table[:, 0], kind="stable")
     x, table = x[order], table[order]
     reach = np.searchsorted(table[:, 0], table[:, 0].astype(np.int16) + distance, side="right")
-    step = max(1, (1 << 20) // max(1, len(x)))
+    step = max(1, (1 << 18) // max(1, len(x)))
     for low in range(0, len(x), step):
         high = min(len(x), low + step)
         i, j = [], []
