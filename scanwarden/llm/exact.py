@@ -34,7 +34,7 @@ class Trie:
 
     ``merge(old, new)`` joins the values of equal strings. With ``spill_bytes`` the trie writes its largest subtree to an
     unnamed file of the task once the labels take more than that; later strings of this subtree follow there, and
-    ``items`` builds each such subtree alone, one level deeper.
+    ``items`` builds each such subtree alone, below what its strings have in common.
     """
 
     def __init__(self, merge, spill_bytes: int | None = None, depth: int = 0):
@@ -78,7 +78,10 @@ class Trie:
                 self._spill()
 
     def _spill(self) -> None:
-        top = max(self.below, key=self.below.get)
+        split = [b for b in self.below if self.root[1][b][1]]
+        if not split:  # single strings, which have to be held anyway
+            return
+        top = max(split, key=self.below.get)
         file = tempfile.TemporaryFile()
         for pair in _walk(self.root[1].pop(top), b""):
             pickle.dump((self.path + pair[0], pair[1]), file)
@@ -91,20 +94,29 @@ class Trie:
         """All strings with their values; empties the trie."""
         for key, value in _walk(self.root, b""):
             yield self.path + key, value
-        files = self.spilled
+        files = list(self.spilled.values())
         self.clear()
-        for top in list(files):
-            with files.pop(top) as file:
-                deeper = Trie(self.merge, self.spill_bytes, self.depth + 1)
-                deeper.path = self.path + bytes([top])
-                file.seek(0)
-                while True:
-                    try:
-                        key, value = pickle.load(file)
-                    except EOFError:
-                        break
+        while files:
+            with files.pop() as file:
+                start = None
+                for key, _ in _pairs(file):
+                    start = key if start is None else start[: _common(start, key, 0)]
+                deeper = Trie(self.merge, self.spill_bytes, len(start))
+                deeper.path = start
+                for key, value in _pairs(file):
                     deeper.add(key, value)
-            yield from deeper.items()
+            for key, value in _walk(deeper.root, b""):
+                yield start + key, value
+            files.extend(deeper.spilled.values())
+
+
+def _pairs(file) -> Iterator[tuple[bytes, object]]:
+    file.seek(0)
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            return
 
 
 def _walk(top: list, prefix: bytes) -> Iterator[tuple[bytes, object]]:
