@@ -20,10 +20,10 @@ def _(spark, d):
 
 
 @query("A6_events_from_scans", """
-SELECT count(*) AS events, count(DISTINCT epc_code) AS items FROM scans""")
+SELECT source_file, epc_code, row_number() OVER (PARTITION BY source_file ORDER BY epc_code NULLS FIRST, event_time NULLS FIRST,
+  location_id NULLS FIRST, business_step NULLS FIRST, event_type NULLS FIRST) AS event_id FROM scans""")
 def _(spark, d):
-    df = scan_files.events_from_scans(scans(spark, d)).groupBy("epc_code").agg(F.count("*").alias("n"))
-    return df.agg(F.sum("n").alias("events"), F.count("*").alias("items"))
+    return scan_files.events_from_scans(scans(spark, d)).select("source_file", "epc_code", "event_id")
 
 
 @query("A8_run_summary", """

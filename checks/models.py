@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import hot, plain, query, scans
+from checks.base import FAKE_SQL, hot, plain, query, scans
 from checks.detection import findings
 from checks.journey import rounded
 from checks.thresholds import training
@@ -158,7 +158,10 @@ def _(spark, d):
     return ml.business_explanation(df, F.lit("jump"), p, names).select("event_id", "risk_level", "summary")
 
 
-@query("P12_smote_or_weight")
+@query("P12_smote_or_weight", f"""
+, t AS (SELECT epc_code, max({FAKE_SQL}) >= 80 AS bad FROM dated GROUP BY 1)
+SELECT label::INT AS label, CASE WHEN p < 50 OR 2 * p >= n THEN CASE label WHEN 1 THEN p ELSE n - p END ELSE n - p END AS "rows"
+FROM (SELECT count(*) AS n, count(*) FILTER (bad) AS p FROM t), (VALUES (0), (1)) l(label)""", "dated")
 def _(spark, d):
     rows = training(spark, d).withColumn("label", (F.col("score") >= 80).cast("int"))
     return ml.smote_or_weight(rows, ["epc_length", "date_old", "date_future"], "epc_code")[0].groupBy("label").agg(F.count("*").alias("rows"))

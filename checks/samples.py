@@ -149,11 +149,11 @@ def _(spark, d):
     return smp.stratified_kfold(scans(spark, d), KEY, "business_step").select("event_id", "fold")
 
 
-@query("T1_union_of_files", "SELECT file_id, count(*) AS events FROM scans WHERE file_id IN (0, 3) GROUP BY 1")
+@query("T1_union_of_files", "SELECT file_id, count(*) AS events FROM scans GROUP BY 1")
 def _(spark, d):
     df = scans(spark, d)
-    both = df.where(F.col("file_id") == 0).unionByName(df.where(F.col("file_id") == 3))
-    return both.groupBy("file_id").agg(F.count("*").alias("events"))
+    low = df.where(F.col("file_id") < 2)
+    return low.unionByName(df.where((F.col("file_id") >= 2) | F.col("file_id").isNull())).groupBy("file_id").agg(F.count("*").alias("events"))
 
 
 @query("T4_distinct_items", "SELECT DISTINCT file_id, epc_code FROM scans")

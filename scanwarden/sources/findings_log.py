@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,14 @@ def write_findings_log(findings: DataFrame, events: DataFrame, path: str, run_id
 
 
 def latest_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of the newest run; empty when there is none."""
-    runs = spark.read.parquet(f"{path}/runs")
+    """Findings of the newest run; an empty table with the columns of a run when there is no log yet."""
+    try:
+        runs = spark.read.parquet(f"{path}/runs")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        flags = ", ".join(f"{t} boolean, {t}Score int" for t in C.STATS_TYPES)
+        return spark.createDataFrame([], f"event_id long, file_id int, epc_code string, {flags}, run_id string, run_ts timestamp, run_date date")
     newest = runs.orderBy(F.desc("run_ts")).limit(1).select("run_id", "run_date")
     return spark.read.parquet(f"{path}/findings").join(F.broadcast(newest), ["run_id", "run_date"], "left_semi")
 
@@ -51,9 +58,8 @@ def to_response_json(findings: DataFrame, page_rows: int = 10_000) -> DataFrame:
     events = events.groupBy("file_id", "page", "pages").agg(F.sort_array(F.collect_list(history)).alias("EventHistory"))
     per_item = paged(epc_stats(findings), ["file_id"], ["epc_code"], page_rows)
     per_item = per_item.groupBy("file_id", "page").agg(F.sort_array(F.collect_list(items)).alias("epcAnomalyStats"))
-    docs = events.join(per_item, ["file_id", "page"], "full")
-    total = file_stats(findings)
-    docs = docs.join(total, "file_id")
+    # every page of items has events; a null file is a file of its own
+    docs = join_on(join_on(events, per_item, ["file_id", "page"]), file_stats(findings), ["file_id"], "inner")
     document = F.struct(
         F.col("file_id").alias("fileId"), "EventHistory", "epcAnomalyStats",
         F.struct(*[f"{t}Count" for t in C.STATS_TYPES], "totalEvents").alias("fileAnomalyStats"))

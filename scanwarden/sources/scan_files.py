@@ -68,15 +68,18 @@ def read_event_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("event_time", F.try_to_timestamp(F.col("event_time")))
 
 
-def events_from_scans(df: DataFrame, numbered: bool = False) -> DataFrame:
-    """Scans in the shape of events, with a number per file or (default) a repeatable hash as id."""
+def events_from_scans(df: DataFrame, numbered: bool = True) -> DataFrame:
+    """Scans in the shape of events, numbered per file in the order of their values, repeats included.
+
+    With ``numbered=False`` the id is a 64-bit hash of all values, nulls told apart: cheaper, but equal rows share it and
+    different rows may.
+    """
     columns = ("epc_code", "event_time", "location_id", "business_step", "event_type")
     if numbered:
-        rows = running_totals(df, ["source_file"], ["epc_code", "event_time", "location_id", "business_step", "event_type"],
-                              {"event_id": F.lit(1).cast("long")})
+        rows = running_totals(df, ["source_file"], list(columns), {"event_id": F.lit(1).cast("long")})
     else:
-        text = F.concat_ws("|", *[F.col(c).cast("string") for c in (*columns, "source_file")])
-        rows = df.withColumn("event_id", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
+        values = F.to_json(F.struct(*columns, "source_file"), {"ignoreNullFields": "false"})
+        rows = df.withColumn("event_id", F.xxhash64(values))
     return rows.select(
         "event_id", "epc_code", "location_id", "business_step", "event_type",
         F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "source_file", "scan_location")

@@ -39,6 +39,20 @@ def test_scan_files(spark, tsv, tmp_path):
     assert [r["event_id"] for r in scan_files.events_from_scans(rows, numbered=True).orderBy("event_id").collect()] == [1, 2]
 
 
+def test_event_ids_are_unique(spark):
+    rows = [("a", None, "x", "f"), ("a", "x", None, "f"), ("a", "x", None, "f"), ("a", "x", None, None)]
+    df = spark.createDataFrame(rows, "epc_code string, business_step string, event_type string, source_file string").selectExpr(
+        "*", "timestamp'2024-01-01' AS event_time", "1 AS location_id", "'p' AS scan_location")
+    events = scan_files.events_from_scans(df)
+    assert events.select("source_file", "event_id").distinct().count() == 4
+    assert scan_files.events_from_scans(df, numbered=False).select("event_id").distinct().count() == 3
+
+
+def test_log_that_is_not_there(spark, tmp_path):
+    empty = findings_log.latest_findings(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and {"event_id", "run_id", "run_ts"} <= set(empty.columns)
+
+
 def test_envelopes_to_documents(spark, tmp_path):
     rows = [r.asDict() for r in request_rows(spark).drop("scan_location").withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")).collect()]
     for r in rows[:4]:

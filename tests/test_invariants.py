@@ -167,12 +167,24 @@ def test_splits_share_no_item(spark, sf):
     assert train.agg(F.max("n")).first()[0] == 1
 
 
+def test_similarity_of_equal_vectors_keeps_k(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.0, 2.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "i int, embedding array<double>")
+    got = multilabel.similar_top_k(df, df, "i", "i", k=2, threshold=0.5, block_rows=20)
+    want = {(i, j, r) for i, v in rows for r, j in enumerate([j for j, w in rows if w == v][:2], 1)}
+    assert {(r["i"], r["i_similar"], r["rank"]) for r in got.collect()} == want
+    far = multilabel.similar_top_k(df, df, "i", "i", k=90, threshold=-1.0, metric="euclidean").where("i = 0")
+    assert {r["i_similar"] for r in far.collect()} == set(range(0, 90, 3))
+    assert multilabel.similar_top_k(df.where("false"), df, "i", "i").count() == 0
+
+
 def test_smote_balances(spark):
     df = spark.range(600).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"), (F.col("id") % 17 / 17.0).alias("a"), (F.col("id") % 13 / 13.0).alias("b"))
     out, how = multilabel.smote_or_weight(df, ["a", "b"], "id")
     counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
-    assert how == "smote" and counts[0] == 540 and counts[1] >= 540
-    assert multilabel.smote_or_weight(df.limit(100), ["a", "b"], "id")[1] == "weights"
+    assert how == "smote" and counts == {0: 540, 1: 540}
+    weighted, how = multilabel.smote_or_weight(df.limit(100), ["a", "b"], "id")
+    assert how == "weights" and weighted.columns == out.columns
 
 
 def test_noise_lowers_quality(spark):
