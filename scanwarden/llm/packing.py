@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,19 +22,29 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+#: Runs of ASCII letters and non-ASCII characters, runs of ASCII punctuation but for the apostrophe, and single others.
+_PARTS = re.compile(r"[a-z\x80-\U0010ffff]+|[!-&(-/:-@\[-`{-~]+|.", re.S)
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit numbers.
 
     The tokenizer lower-cases, drops white space and treats what stands between it on its own, so ids are kept per run of
-    other characters, A-Z lower-cased; the table is emptied when it has ``most`` entries. Texts are taken ``at_once``, so
-    that the tokenizer gets their new runs in one call.
+    other characters, A-Z lower-cased; the table is emptied when it has ``most`` entries. It also treats letters and
+    punctuation on their own, so a new run of nothing else is put together from its parts; each part ends with the only
+    token of an end of word, which tells the ids of many parts apart that are encoded together. Runs with digits,
+    apostrophes or other characters are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000, at_once: int = 256):
+    def __init__(self, path: str, most: int = 300_000, at_once: int = 256):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most, self.at_once = most, at_once
 
     def ids(self, texts_: list[bytes]) -> Iterator[bytes]:
@@ -41,13 +52,44 @@ class Encoder:
             split = [x.lower().split() for x in texts_[low : low + self.at_once]]
             if len(self.known) > self.most:
                 self.known.clear()
-            new = [w for w in set().union(*split) if w not in self.known]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, found):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            if len(self.parts) > self.most:
+                self.parts.clear()
+            self._learn([w for w in set().union(*split) if w not in self.known])
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 
+    def _learn(self, runs: list[bytes]) -> None:
+        made: list[tuple[bytes, list[str]]] = []
+        whole: list[tuple[bytes, str]] = []
+        new: dict[str, None] = {}
+        for run in runs:
+            text = run.decode("utf-8", "replace")
+            parts = _PARTS.findall(text)
+            if all(p.isalpha() or "!" <= p[0] <= "~" and not p[0].isalnum() and p[0] != "'" for p in parts):
+                made.append((run, parts))
+                new.update((p, None) for p in parts if p not in self.parts)
+            else:
+                whole.append((run, text))
+        self._learn_parts(list(new))
+        for run, parts in made:
+            self.known[run] = b"".join([self.parts[p] for p in parts])
+        for (run, _), ids in zip(whole, self._each([text for _, text in whole])):
+            self.known[run] = ids
+
+    def _each(self, texts_: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for low in range(0, len(parts), 500):
+            some = parts[low : low + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(some) and cuts[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                self.parts.update((p, data[x:y]) for p, x, y in zip(some, [0, *cuts], cuts))
+            else:
+                self.parts.update(zip(some, self._each(some)))
+
 
 @cache
 def _encoder(path: str) -> Encoder:
