@@ -36,9 +36,16 @@ def _(spark, d):
     return rounded(dr.ks_test(*sides(spark, d), FEATURES), "ks", digits=6).select("feature", "ks")
 
 
-@query("N2_ks_pvalue")
+SHARED["ks"] = """
+size AS (SELECT feature, sum(a) AS n, sum(b) AS m FROM cnt GROUP BY 1),
+root AS (SELECT feature, ks, ks * sqrt(n::DOUBLE * m / (n + m)) AS x FROM dist JOIN size USING (feature)),
+tests AS (SELECT feature, ks, CASE WHEN x < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101),
+  lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x))))) END AS p_value FROM root)"""
+
+
+@query("N2_ks_pvalue", "SELECT feature, round(ks, 6) AS ks, round(p_value, 6)::DOUBLE AS p_value FROM tests", "dist ks")
 def _(spark, d):
-    return dr.ks_test(*sides(spark, d), FEATURES)
+    return rounded(dr.ks_test(*sides(spark, d), FEATURES), "ks", "p_value", digits=6)
 
 
 @query("N3_drift_baseline", """
@@ -47,9 +54,30 @@ def _(spark, d):
     return rounded(dr.drift_baseline(sides(spark, d)[0], FEATURES), "mean", "std", digits=6)
 
 
-@query("N4_bootstrap_threshold")
+def replicate_emd_sql(source: str, a: str, b: str) -> str:
+    """Distance per replicate and feature; ``a`` and ``b`` are the weights of the two sides."""
+    return f"""
+rc AS (SELECT replicate, feature, value, {a} AS a, {b} AS b FROM {source} GROUP BY replicate, feature, value),
+ru AS (SELECT *, sum(a) OVER w / sum(a) OVER t AS fa, sum(b) OVER w / sum(b) OVER t AS fb, lead(value) OVER w AS nx FROM rc
+  WINDOW w AS (PARTITION BY replicate, feature ORDER BY value), t AS (PARTITION BY replicate, feature)),
+rd AS (SELECT replicate, feature, coalesce(sum(abs(fa-fb)*(nx-value)), 0) AS emd FROM ru GROUP BY ALL)"""
+
+
+def replicate_draw_sql(rest: str = "replicate") -> str:
+    return f"CAST('0x' || substr(md5(event_id || '|' || {rest} || '|42'), 1, 12) AS BIGINT)"
+
+
+SIDE_COUNTS = ("count(*) FILTER (side = 0)", "count(*) FILTER (side = 1)")
+
+
+@query("N4_bootstrap_threshold", f"""
+, dw AS (SELECT location_id, device_id, hour, replicate, {replicate_draw_sql()} % 2 AS side FROM sided, range(100) r(replicate) WHERE sided.side = 0),
+rv AS (SELECT replicate, side, 'location_id' AS feature, location_id::DOUBLE AS value FROM dw UNION ALL SELECT replicate, side, 'device_id', device_id FROM dw
+  UNION ALL SELECT replicate, side, 'hour', hour FROM dw), {replicate_emd_sql("rv", *SIDE_COUNTS)},
+m AS (SELECT replicate, avg(emd) AS emd FROM rd GROUP BY 1)
+SELECT round(quantile_cont(emd, 0.95), 6) AS p95, round(quantile_cont(emd, 0.99), 6) AS p99, round(avg(emd), 6) AS mean, round(stddev_pop(emd), 6) AS std FROM m""", "dist")
 def _(spark, d):
-    return dr.bootstrap_threshold(sides(spark, d)[0], ["device_id"], ["event_id"], n=5)
+    return rounded(dr.bootstrap_threshold(sides(spark, d)[0], FEATURES, ["event_id"]), "p95", "p99", "mean", "std", digits=6)
 
 
 @query("N5_feature_drift", """
@@ -123,17 +151,41 @@ def test_rows(spark, d):
     return rows.select("event_id", "side", F.lit("device_id").alias("feature"), F.col("device_id").cast("double").alias("value"))
 
 
-@query("N9_permutation_test")
+@query("N9_permutation_test", f"""
+, dw AS (SELECT event_id, 'device_id' AS feature, device_id::DOUBLE AS value, replicate, {replicate_draw_sql()} AS d FROM sided, range(100) r(replicate)),
+rv AS (SELECT *, (row_number() OVER (PARTITION BY replicate ORDER BY d) > (SELECT count(*) FROM sided WHERE side = 0))::INT AS side FROM dw),
+{replicate_emd_sql("rv", *SIDE_COUNTS)}
+SELECT feature, round(dist.emd, 6) AS observed, round((count(*) FILTER (rd.emd >= dist.emd) + 1) / (count(*) + 1), 6) AS p_value,
+  round(avg(rd.emd), 6) AS null_mean, round(stddev_pop(rd.emd), 6) AS null_std FROM rd JOIN dist USING (feature) GROUP BY feature, dist.emd""", "dist")
 def _(spark, d):
-    return dr.permutation_test(test_rows(spark, d), ["event_id"], n=5)
-
-
-@query("N10_bootstrap_emd_test")
+    return rounded(dr.permutation_test(test_rows(spark, d), ["event_id"]), "observed", "p_value", "null_mean", "null_std", digits=6)
+
+
+def _poisson_sql(u: str) -> str:
+    """Count whose cumulative Poisson(1) probability first exceeds the draw."""
+    total, term, arms = 0.0, 0.36787944117144233, []
+    for k in range(9):
+        total += term
+        arms.append(f"WHEN {u} < {total!r} THEN {k}")
+        term /= k + 1
+    return f"CASE {' '.join(arms)} ELSE 9 END"
+
+
+@query("N10_bootstrap_emd_test", f"""
+, dw AS (SELECT 'device_id' AS feature, device_id::DOUBLE AS value, replicate, s.side AS side, {replicate_draw_sql("s.side || '|' || replicate")} / 281474976710656.0::DOUBLE AS u
+  FROM sided, range(100) r(replicate), (VALUES (0), (1)) s(side)),
+rv AS (SELECT *, {_poisson_sql("u")} AS w FROM dw),
+{replicate_emd_sql("rv", "sum(CASE WHEN side = 0 THEN w ELSE 0 END)", "sum(CASE WHEN side = 1 THEN w ELSE 0 END)")}
+SELECT feature, round(dist.emd, 6) AS observed, round(count(*) FILTER (rd.emd >= dist.emd) / count(*), 6) AS p_value
+FROM rd JOIN dist USING (feature) GROUP BY feature, dist.emd""", "dist")
 def _(spark, d):
-    return dr.bootstrap_emd_test(test_rows(spark, d), ["event_id"], n=5)
+    return rounded(dr.bootstrap_emd_test(test_rows(spark, d), ["event_id"]), "observed", "p_value", digits=6)
 
 
-@query("N11_multivariate_drift")
+@query("N11_multivariate_drift", """
+, c AS (SELECT count(*) AS features, count(*) FILTER (p_value < 0.05) AS significant,
+  count(*) FILTER (p_value < 0.05 / (SELECT count(*) FROM tests)) AS bonferroni_significant FROM tests)
+SELECT *, bonferroni_significant > 0 AS drift, significant / features AS severity FROM c""", "dist ks")
 def _(spark, d):
     return dr.multivariate_drift(dr.ks_test(*sides(spark, d), FEATURES))
 

@@ -167,9 +167,17 @@ def _(spark, d):
     return rounded(ev.mcnemar(two_models(spark, d), "a", "b"), "statistic", digits=6).drop("p_value", "significant")
 
 
-@query("V8_mcnemar_pvalue")
+@query("V8_mcnemar_pvalue", """
+, m AS (SELECT anomaly_type, (probability >= 0.5)::INT = truth AS a, (probability >= 0.45)::INT = truth AS b FROM pred),
+c AS (SELECT anomaly_type, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (NOT a AND b) AS y FROM m GROUP BY 1),
+z AS (SELECT *, x + y AS n, CASE WHEN x + y >= 25 THEN sqrt(pow(abs(x - y) - 1, 2) / (x + y) / 2) END AS z FROM c),
+p AS (SELECT *, CASE WHEN n < 25 THEN least(1, 2 * list_sum(list_transform(range(0, least(x, y) + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))))
+  WHEN z = 0 THEN 1 WHEN z > 6 THEN 0
+  ELSE 1 - exp(-z * z) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(z) - lgamma(k + 1.5)))) END AS p FROM z)
+SELECT anomaly_type, round(p, 6)::DOUBLE AS p_value, p < 0.05 AS significant FROM p""", "pred")
 def _(spark, d):
-    return ev.mcnemar(two_models(spark, d), "a", "b")
+    return rounded(ev.mcnemar(two_models(spark, d), "a", "b"), "p_value", digits=6).select("anomaly_type", "p_value", "significant")
 
 
 @query("V9_paired_ttest", """

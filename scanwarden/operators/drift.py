@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from scanwarden.functions import tests_of_significance as sig
 from scanwarden.operators.profile import long_form
-from scanwarden.operators.sampling import draw, hash_rank
-from scanwarden.skew import join_on, quantiles, running_totals
+from scanwarden.operators.sampling import draw
+from scanwarden.skew import join_on, running_totals
 
 IMPACT = {"feature_distribution": 0.3, "embedding_space": 0.4, "performance": 0.6, "attention_patterns": 0.2}
 ALERT_WEIGHT = {"none": 1.0, "low": 0.8, "medium": 0.5, "high": 0.2}
@@ -25,6 +25,11 @@ LEVEL_ADVICE = {
 CALM_ADVICE = "System operating normally - continue standard monitoring"
 
 
+def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, value and how often it occurs (``n``): all that the distances need of a table."""
+    return long_form(df, features, cast="double", name="feature").groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
 def two_sides(baseline: DataFrame, recent: DataFrame, features: Sequence[str]) -> DataFrame:
     """feature, value, side (0 baseline, 1 recent)."""
     first = long_form(baseline, features, cast="double", name="feature").withColumn("side", F.lit(0))
@@ -111,20 +116,47 @@ def replicates(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def bootstrap_threshold(df: DataFrame, features: Sequence[str], key: Sequence[str], n: int = 20, seed: int = 42) -> DataFrame:
-    """95th and 99th percentile of the distance between random halves of the baseline.
+def bootstrap_threshold(df: DataFrame, features: Sequence[str], key: Sequence[str], n: int = 100, seed: int = 42) -> DataFrame:
+    """Percentiles, mean and deviation of the distance between random halves of the baseline; one row.
+
+    A replicate's distance is the mean over the features. Halves are drawn by hash per replicate, so the draw is part of
+    the map stage; what is shuffled are counts per replicate, feature and value.
+    """
+    drawn = replicates(df.select(*key, *features), n).withColumn("side", (draw([*key, "replicate"], seed) % 2).cast("int"))
+    rows = long_form(drawn, features, ["replicate", "side"], cast="double", name="feature")
+    per = distances(rows, ["replicate", "feature"]).groupBy("replicate").agg(F.avg("emd").alias("emd"))
+    # one row per replicate
+    return per.agg(
+        F.percentile("emd", 0.95).alias("p95"), F.percentile("emd", 0.99).alias("p99"),
+        F.avg("emd").alias("mean"), F.stddev_pop("emd").alias("std"))
+
+
+def _relabeled(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
+    """All rows for each replicate, the baseline's number of smallest draws as side 0, the others as side 1.
 
-    Halves are drawn by hash per replicate, so the draw is part of the map stage; what is
-    shuffled are counts per replicate, feature and value.
+    The draw that parts them is found from counts of its leading 16 bits, so that only the rows of one of 65,536 ranges
+    are ranked; the others stay where they are. Rows without a value take no part.
     """
-    rows = long_form(df, features, list(key), cast="double", name="feature")
-    rows = replicates(rows, n).withColumn("side", (draw([*key, "replicate"], seed) % 2).cast("int"))
-    emd = distances(rows, ["replicate", "feature"])
-    return quantiles(emd, ["feature"], "emd", {"p95": 0.95, "p99": 0.99}, bounded=True)
+    by = ["replicate", "feature"]
+    known = rows.where(F.col("value").isNotNull())
+    drawn = replicates(known.drop("side"), n).withColumn("_draw", draw([*key, "replicate"], seed))
+    drawn = drawn.withColumn("_range", F.shiftright("_draw", 32))
+    sizes = known.groupBy("feature").agg(F.count_if(F.col("side") == 0).alias("_n0"))
+    counted = drawn.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    up_to = Window.partitionBy(*by).orderBy("_range")  # at most 65,536 rows
+    found = join_on(counted.withColumn("_sum", F.sum("_n").over(up_to)), sizes, ["feature"])
+    found = found.where((F.col("_sum") >= F.col("_n0")) & (F.col("_sum") - F.col("_n") < F.col("_n0")))
+    found = found.select(*by, "_range", (F.col("_n0") - F.col("_sum") + F.col("_n")).alias("_place"))
+    # one row per replicate and feature
+    near = drawn.join(F.broadcast(found), [*by, "_range"])
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_draw")))
+    cut = ranked.where(F.col("_rank") == F.col("_place")).select(*by, F.col("_draw").alias("_cut"))
+    out = drawn.join(F.broadcast(cut), by, "left")
+    return out.withColumn("side", F.when(F.col("_draw") <= F.col("_cut"), 0).otherwise(1)).drop("_draw", "_range", "_cut")
 
 
 def permutation_test(rows: DataFrame, key: Sequence[str], n: int = 100, statistic: str = "emd", seed: int = 42) -> DataFrame:
-    """Share of random relabelings whose difference is at least the observed one, per feature.
+    """Share of random relabelings whose difference is at least the observed one, and mean and deviation of theirs, per feature.
 
     ``rows`` has feature, value, side and the key. Each replicate keeps the sizes of the sides.
     """
@@ -135,13 +167,10 @@ def permutation_test(rows: DataFrame, key: Sequence[str], n: int = 100, statisti
         return df.groupBy(*by).agg(F.abs(a - b).alias("stat"))
 
     observed = measure(rows, ["feature"]).withColumnRenamed("stat", "observed")
-    sizes = rows.groupBy("feature").agg(F.count_if(F.col("side") == 0).alias("_n0"))
-    shuffled = replicates(rows.drop("side"), n).withColumn("_seed", F.col("replicate"))
-    ranked = hash_rank(shuffled, ["replicate", "feature"], [*key, "_seed"], seed, "_rank")
-    ranked = join_on(ranked, sizes, ["feature"]).withColumn("side", (F.col("_rank") > F.col("_n0")).cast("int"))
-    null = join_on(measure(ranked, ["replicate", "feature"]), observed, ["feature"])
+    null = join_on(measure(_relabeled(rows, key, n, seed), ["replicate", "feature"]), observed, ["feature"])
     return null.groupBy("feature", "observed").agg(
-        ((F.count_if(F.col("stat") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+        ((F.count_if(F.col("stat") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"),
+        F.avg("stat").alias("null_mean"), F.stddev_pop("stat").alias("null_std"))
 
 
 def _poisson_weight(u: Column) -> Column:
