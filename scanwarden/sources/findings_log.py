@@ -25,10 +25,12 @@ def run_summary(findings: DataFrame, events: DataFrame, run_id: str, run_ts: Col
 
 
 def write_findings_log(findings: DataFrame, events: DataFrame, path: str, run_id: str, run_ts: Column) -> None:
-    """Appends the findings and the summary of a run."""
+    """Appends the findings and the summary of a run; the summary counts what was written."""
     tagged = findings.withColumns({"run_id": F.lit(run_id), "run_ts": run_ts, "run_date": run_ts.cast("date")})
     tagged.write.mode("append").partitionBy("run_date").parquet(f"{path}/findings")
-    summary = run_summary(findings, events, run_id, run_ts)
+    kept = events.sparkSession.read.schema(tagged.schema).parquet(f"{path}/findings")
+    kept = kept.where((F.col("run_id") == run_id) & (F.col("run_date") == run_ts.cast("date")) & (F.col("run_ts") == run_ts))
+    summary = run_summary(kept, events, run_id, run_ts)
     summary.withColumn("run_date", run_ts.cast("date")).write.mode("append").partitionBy("run_date").parquet(f"{path}/runs")
 
 

@@ -33,19 +33,21 @@ def read_scans_tagged(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 def read_validated(spark: SparkSession, paths: Sequence[str], required: Sequence[str] = schemas.SCAN_REQUIRED) -> DataFrame:
     """Files that lack a required column are left out, rows with malformed codes or times dropped.
 
-    Only header lines are looked at to check columns; columns are matched by name.
+    Only header lines are looked at to check columns; columns are matched by name. Files with equal headers are read
+    together, so the plan has one branch per header, not per file.
     """
-    parts = []
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        raw = spark.read.csv(path, sep="\t", header=True)
-        raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-        if set(required) <= set(raw.columns):
-            parts.append(raw)
-    if not parts:
+        header = tuple(spark.read.csv(path, sep="\t", header=True).columns)
+        if set(required) <= {c.lstrip("\ufeff") for c in header}:
+            by_header.setdefault(header, []).append(path)
+    if not by_header:
         return spark.createDataFrame([], schemas.SCAN)
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
+    rows = None
+    for header, alike in by_header.items():
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        part = spark.read.csv(alike, sep="\t", header=True, schema=text).toDF(*[c.lstrip("\ufeff") for c in header])
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     known = {f.name: f.dataType for f in schemas.SCAN}
     for c in rows.columns:
         if c in ("event_time", "manufacture_date"):

@@ -18,9 +18,7 @@ def write_training_set(df: DataFrame, path: str, anomaly_type: str, features: Se
     cells = F.array(*[F.col(f).cast("double") for f in features])
     table = rows.select(*keys, cells.alias("features"), "label", F.col("score").cast("double").alias("score"), "split")
     spark = df.sparkSession
-    for split in ("train", "test"):
-        part = table.where(F.col("split") == split).drop("split")
-        part.write.mode("overwrite").parquet(f"{path}/data/anomaly_type={anomaly_type}/split={split}")
+    table.write.mode("overwrite").partitionBy("split").parquet(f"{path}/data/anomaly_type={anomaly_type}")
     saved = read_training_set(spark, path, anomaly_type)
     meta = saved.agg(
         F.count("*").alias("samples"), F.count_if(F.col("label") == 1).alias("positives"),
