@@ -24,26 +24,32 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 #: Runs of ASCII letters and non-ASCII characters, runs of ASCII punctuation but for the apostrophe, and single others.
 _PARTS = re.compile(r"[a-z\x80-\U0010ffff]+|[!-&(-/:-@\[-`{-~]+|.", re.S)
+#: Single punctuation that ends most words of prose.
+_STOPS = b".,;:!?"
+#: The only letter whose lower case is more than letters.
+_DOTTED = "\u0130"
 
 
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit numbers.
 
     The tokenizer lower-cases, drops white space and treats what stands between it on its own, so ids are kept per run of
-    other characters, A-Z lower-cased; the table is emptied when it has ``most`` entries. It also treats letters and
-    punctuation on their own, so a new run of nothing else is put together from its parts; each part ends with the only
-    token of an end of word, which tells the ids of many parts apart that are encoded together. Runs with digits,
-    apostrophes or other characters are encoded whole.
+    other characters, A-Z lower-cased. When the table has ``most`` entries, those used since it last was that full stay
+    within reach and the others go. It also treats letters and punctuation on their own, so a new run of nothing else is
+    put together from its parts; each part ends with the only token of an end of word, which tells the ids of many parts
+    apart that are encoded together. Runs with digits, apostrophes or other characters are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000, at_once: int = 256):
+    def __init__(self, path: str, most: int = 400_000, at_once: int = 256):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.stops = dict(zip(_STOPS, self._each([chr(c) for c in _STOPS])))
         self.known: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.most, self.at_once = most, at_once
 
@@ -51,26 +57,57 @@ class Encoder:
         for low in range(0, len(texts_), self.at_once):
             split = [x.lower().split() for x in texts_[low : low + self.at_once]]
             if len(self.known) > self.most:
-                self.known.clear()
+                self.known, self.earlier = {}, self.known
             if len(self.parts) > self.most:
                 self.parts.clear()
-            self._learn([w for w in set().union(*split) if w not in self.known])
+            new = set().union(*split).difference(self.known)
+            if self.earlier:
+                again = new.intersection(self.earlier)
+                self.known.update((w, self.earlier[w]) for w in again)
+                new -= again
+            self._learn(new)
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 
-    def _learn(self, runs: list[bytes]) -> None:
+    def _learn(self, runs: set[bytes]) -> None:
+        words: dict[bytes, None] = {}
+        ended: list[bytes] = []
+        rest: list[bytes] = []
+        for run in runs:
+            stop = run[-1] in _STOPS
+            body = run[:-1] if stop else run
+            if not body.isalpha() and not self._letters(body):
+                rest.append(run)
+                continue
+            if stop:
+                ended.append(run)
+            if body not in self.known:
+                words[body] = None
+        self._learn_parts(self.known, list(words), [w.decode() for w in words])
+        for run in ended:
+            self.known[run] = self.known[run[:-1]] + self.stops[run[-1]]
+        self._put_together(rest)
+
+    @staticmethod
+    def _letters(body: bytes) -> bool:
+        if body.isascii():
+            return False
+        text = body.decode("utf-8", "replace")
+        return text.isalpha() and _DOTTED not in text
+
+    def _put_together(self, runs: list[bytes]) -> None:
         made: list[tuple[bytes, list[str]]] = []
         whole: list[tuple[bytes, str]] = []
         new: dict[str, None] = {}
         for run in runs:
             text = run.decode("utf-8", "replace")
             parts = _PARTS.findall(text)
-            if all(p.isalpha() or "!" <= p[0] <= "~" and not p[0].isalnum() and p[0] != "'" for p in parts):
+            if _DOTTED not in text and all(p.isalpha() or "!" <= p[0] <= "~" and not p[0].isalnum() and p[0] != "'" for p in parts):
                 made.append((run, parts))
                 new.update((p, None) for p in parts if p not in self.parts)
             else:
                 whole.append((run, text))
-        self._learn_parts(list(new))
+        self._learn_parts(self.parts, list(new), list(new))
         for run, parts in made:
             self.known[run] = b"".join([self.parts[p] for p in parts])
         for (run, _), ids in zip(whole, self._each([text for _, text in whole])):
@@ -79,16 +116,16 @@ class Encoder:
     def _each(self, texts_: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        for low in range(0, len(parts), 500):
-            some = parts[low : low + 500]
+    def _learn_parts(self, table: dict, keys: list, parts: list[str]) -> None:
+        for low in range(0, len(parts), 200):
+            names, some = keys[low : low + 200], parts[low : low + 200]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(some) and cuts[-1] == 4 * len(ids):
                 data = ids.tobytes()
-                self.parts.update((p, data[x:y]) for p, x, y in zip(some, [0, *cuts], cuts))
+                table.update(zip(names, [data[x:y] for x, y in zip([0, *cuts], cuts)]))
             else:
-                self.parts.update(zip(some, self._each(some)))
+                table.update(zip(names, self._each(some)))
 
 
 @cache
