@@ -78,6 +78,8 @@ class Automaton:
         self.closed = [self._reach(s) for s in range(len(self.words))]
         plain = [t for t in re.sub(r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]|<\d+>", " | ", template).split("|") if t.strip()]
         self.anchor = max((" ".join(x.split()) for x in plain), key=len).encode()
+        # an accepted run has at most so many words, so its anchor stands at most so many after its start
+        self.longest = self.literals + sum(int(t[1:-1]) for t in tokens if t[0] == "<")
 
     def _state(self) -> int:
         self.words.append({})
@@ -129,7 +131,7 @@ def places(joined: bytes, phrase: bytes) -> Iterator[int]:
         at += 1
 
 
-def scan(text: bytes, phrases: Mapping[bytes, str], automata: Mapping[str, Automaton], reach: int = 48) -> tuple:
+def scan(text: bytes, phrases: Mapping[bytes, str], automata: Mapping[str, Automaton]) -> tuple:
     """Number of words; places of phrases, first and last; their labels; all labels; score."""
     words = text.translate(PLAIN_WORDS).split()
     if not words:
@@ -146,7 +148,7 @@ def scan(text: bytes, phrases: Mapping[bytes, str], automata: Mapping[str, Autom
     for label, automaton in automata.items():
         for anchor in places(joined, automaton.anchor):
             # the statement may begin before its longest fixed wording, by as many words as the template allows
-            for start in range(max(0, anchor - reach), anchor + 1):
+            for start in range(max(0, anchor - automaton.longest), anchor + 1):
                 length = automaton.accepts(words, start)
                 if length and start + length > anchor:
                     every.add(ALIASES.get(label, label))
