@@ -37,13 +37,14 @@ class Encoder:
     other characters, A-Z lower-cased. When the table has ``most`` entries, those used since it last was that full stay
     within reach and the others go. It also treats letters and punctuation on their own, so a new run of nothing else is
     put together from its parts; each part ends with the only token of an end of word, which tells the ids of many parts
-    apart that are encoded together. Runs with digits, apostrophes or other characters are encoded whole.
+    apart that are encoded together. Runs with digits, apostrophes or other characters are encoded whole. A special token
+    (``<|endoftext|>``) is known by its own case and wherever it stands, so a text that holds one is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 400_000, at_once: int = 256):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -55,7 +56,9 @@ class Encoder:
 
     def ids(self, texts_: list[bytes]) -> Iterator[bytes]:
         for low in range(0, len(texts_), self.at_once):
-            split = [x.lower().split() for x in texts_[low : low + self.at_once]]
+            some = texts_[low : low + self.at_once]
+            whole = {i for i, x in enumerate(some) if any(t in x for t in self.special)}
+            split = [[] if i in whole else x.lower().split() for i, x in enumerate(some)]
             if len(self.known) > self.most:
                 self.known, self.earlier = {}, self.known
             if len(self.parts) > self.most:
@@ -66,8 +69,8 @@ class Encoder:
                 self.known.update((w, self.earlier[w]) for w in again)
                 new -= again
             self._learn(new)
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+            for i, words in enumerate(split):
+                yield self._each([some[i].decode("utf-8", "replace")])[0] if i in whole else b"".join(map(self.known.__getitem__, words))
 
     def _learn(self, runs: set[bytes]) -> None:
         words: dict[bytes, None] = {}
