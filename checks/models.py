@@ -13,21 +13,22 @@ from scanwarden.operators import labels as lab
 from scanwarden.operators import multilabel as ml
 from scanwarden.operators import oneclass as oc
 from scanwarden.operators import profile as pro
+from scanwarden.plans import registry
 from scanwarden.sources.table_scans import as_of, table
 
-FAKE = [f for f in fe.FAKE if f != "structure_valid"]
+FAKE = list(fe.FAKE)
 
 
 @query("M1_fit_one_class")
 def _(spark, d):
-    model = oc.fit_one_class(training(spark, d), FAKE, "epcFake", steps=6)
+    model = oc.fit_one_class(training(spark, d), FAKE, "epcFake")
     return model.select("anomaly_type", "rows", F.round("accuracy", 4).alias("accuracy"), F.round("offset", 6).alias("offset"))
 
 
 @query("M2_score_one_class")
 def _(spark, d):
     rows = training(spark, d)
-    model = oc.fit_one_class(rows, FAKE, "epcFake", steps=6).first()
+    model = oc.fit_one_class(rows, FAKE, "epcFake").first()
     scored = oc.score_one_class(rows, model)
     return scored.select("file_id", "epc_code", "outlier", "score", F.round("decision", 5).alias("decision"))
 
@@ -37,9 +38,12 @@ def _(spark, d):
     events = scans(spark, d)
     items = training(spark, d)
     jumps = fe.jump_features_per_event(events, hot=hot(spark, d)).withColumn("label", F.lit(0))
-    models = oc.fit_one_class(items, FAKE, "epcFake", steps=3).unionByName(
-        oc.fit_one_class(jumps, fe.JUMP_EVENT, "jump", steps=3))
-    found = oc.detect_one_class(models, {"epcFake": items}, {"jump": jumps}, events)
+    tables = {"epcFake": items} | {
+        kind: registry.item_features(kind, events, hot=hot(spark, d)).withColumn("label", F.lit(0)) for kind in C.STATS_TYPES if kind not in ("epcFake", "jump")}
+    models = oc.fit_one_class(jumps, fe.JUMP_EVENT, "jump")
+    for kind, rows in tables.items():
+        models = models.unionByName(oc.fit_one_class(rows, list(registry.FEATURE_NAMES[kind]), kind))
+    found = oc.detect_one_class(models, tables, {"jump": jumps}, events)
     return det.file_stats(found)
 
 
@@ -53,7 +57,7 @@ def labelled_sequences(spark, d):
 @query("M6_M7_score_multilabel")
 def _(spark, d):
     rows = ml.flatten(labelled_sequences(spark, d))
-    models = ml.fit_multilabel(rows, max_iter=3)
+    models = ml.fit_multilabel(rows)
     scored = ml.score_multilabel(rows, models)
     return scored.select("event_id", *[F.round(f"{t}_probability", 4).alias(t) for t in C.STATS_TYPES], "risk_level", "alert_level")
 
@@ -164,7 +168,7 @@ SELECT label::INT AS label, CASE WHEN p < 50 OR 2 * p >= n THEN CASE label WHEN
 FROM (SELECT count(*) AS n, count(*) FILTER (bad) AS p FROM t), (VALUES (0), (1)) l(label)""", "dated")
 def _(spark, d):
     rows = training(spark, d).withColumn("label", (F.col("score") >= 80).cast("int"))
-    return ml.smote_or_weight(rows, ["epc_length", "date_old", "date_future"], "epc_code")[0].groupBy("label").agg(F.count("*").alias("rows"))
+    return ml.smote_or_weight(rows, FAKE, "epc_code")[0].groupBy("label").agg(F.count("*").alias("rows"))
 
 
 @query("D33_prediction_summary", f"""
