@@ -5,7 +5,7 @@ Everything here is DataFrame functions: patterns, positions and statistics stay
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,9 +143,7 @@ def disclosing_terms(docs: DataFrame, holders: DataFrame, disclosure: float = 0.
     """
     seen = holders.select(F.explode(contexts(F.col(text))).alias("context")).where(F.col("context").rlike("[@0-9]"))
     seen = _find(seen, "context", "spans").where(F.size("spans") > 0)
-    bare = F.col("context")
-    for p in PATTERNS.values():
-        bare = F.regexp_replace(bare, p, " ")
+    bare = _replaced(F.col("context"), F.col("spans"), [" "] * len(KINDS))
     names = F.array(*map(F.lit, KINDS))
     seen = seen.select(F.md5("context").alias("h"), _terms(bare).alias("terms"), F.array_distinct(
         F.transform("spans", lambda s: F.concat_ws(":", names[s["kind"]], s["value"]))).alias("entities"))
@@ -207,13 +205,14 @@ def sanitised(docs: DataFrame, ident: str = "doc_id", text: str = "text", disclo
     added = _places(F.col("text"), TERM, F.col("words"), len(PATTERNS), lambda m: F.col("held")[F.lower(m)])
     outside = F.filter(added, lambda w: w["value"].isNotNull() & ~F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
     with_terms = with_terms.withColumn("spans", F.sort_array(F.concat("base", outside)))
-    with_terms = with_terms.select("doc_id", "base", "spans", _replaced(F.col("text"), F.col("spans")).alias("text"))
+    with_terms = with_terms.select("doc_id", "base", "spans", _replaced(F.col("text"), F.col("spans"), [f"<{k.upper()}>" for k in KINDS]).alias("text"))
     return with_terms.union(clean.select("doc_id", "base", F.col("base").alias("spans"), "text"))
 
 
-def _replaced(text: Column, spans: Column) -> Column:
-    """The text with labels for spans; of spans that overlap the first has the label, and nothing of the others is left."""
-    labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+def _replaced(text: Column, spans: Column, labels: Sequence[str]) -> Column:
+    """The text with a label for each span, by kind, and what it is generalised to for a term; of spans that overlap the first
+    has the label, and nothing of the others is left."""
+    labels = F.array(*map(F.lit, labels))
 
     def put(done: Column) -> Column:
         pieces = F.zip_with(spans, done, lambda s, e: F.concat(
