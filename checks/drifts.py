@@ -1,10 +1,14 @@
 """Drift between earlier and later scans, and between embeddings."""
 
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import AS_OF_SQL, SHARED, plain, query, scans
 from checks.journey import rounded
 from scanwarden.operators import drift as dr
+from scanwarden.operators import resampling as rs
 from scanwarden.sources.table_scans import table
 
 FEATURES = ["location_id", "device_id", "hour"]
@@ -225,3 +229,65 @@ SELECT count(*) AS runs, count(*) FILTER (level='none') AS none_alerts, count(*)
   arg_max(level, run) AS current_status, (SELECT CASE WHEN min(x) >= 0 THEN 'deteriorating' WHEN max(x) <= 0 THEN 'improving' ELSE 'stable' END FROM dd) AS recent_trend FROM assess""", "assess")
 def _(spark, d):
     return rounded(dr.drift_summary(dr.drift_assessment(kinds(spark, d))), "stability", digits=6)
+
+
+# ---- 1,000 replicates of every feature, drawn on counts -------------------------------------------
+# SQL has the observed distance, and what chance must give on average: the area under sqrt(2 / pi) times the deviation of the
+# difference between the two cumulative shares at each value.
+
+EXPECTED = """
+pool AS (SELECT feature, value, {weight} AS c FROM cnt),
+size AS (SELECT feature, {n0} AS n0, {n1} AS n1 FROM cnt GROUP BY 1),
+curve AS (SELECT feature, sum(c) OVER w / sum(c) OVER t AS f, lead(value) OVER w - value AS step, sum(c) OVER t AS n FROM pool
+  WINDOW w AS (PARTITION BY feature ORDER BY value), t AS (PARTITION BY feature)),
+chance AS (SELECT feature, coalesce(sum(sqrt(2 / pi() * f * (1 - f) * (1.0 / n0 + 1.0 / n1) {rest}) * step), 0) AS expected
+  FROM curve JOIN size USING (feature) WHERE f < 1 GROUP BY feature)"""
+SIDES = dict(weight="a + b", n0="sum(a)", n1="sum(b)")
+
+
+def with_chance(out, spark, d, observed="observed", mean="null_mean", halves=False):
+    """Whether the mean of the replicates is within 8 % of what chance gives, worked out from all values in order."""
+    baseline, recent = sides(spark, d)
+    rows = dr.two_sides(baseline, recent, FEATURES).where("value IS NOT NULL")
+    if halves:
+        rows = rows.where("side = 0")
+    w = Window.partitionBy("feature").orderBy("value")
+    every = Window.partitionBy("feature")
+    cells = rows.groupBy("feature", "value").agg(F.count("*").alias("c"), F.count_if(F.col("side") == 0).alias("a"))
+    n = F.sum("c").over(every)
+    cells = cells.select("feature", (F.sum("c").over(w) / n).alias("f"), (F.lead("value").over(w) - F.col("value")).alias("step"),
+                         n.alias("n"), (F.floor(n / 2) if halves else F.sum("a").over(every)).alias("n0"))
+    spread = F.sqrt(2 / math.pi * F.col("f") * (1 - F.col("f")) * (1 / F.col("n0") + 1 / (F.col("n") - F.col("n0"))))
+    chance = cells.where("f < 1").groupBy("feature").agg(F.sum(spread * F.col("step")).alias("expected"))
+    joined = out.join(chance, "feature")
+    return joined.withColumn("as_chance", F.abs(F.col(mean) / F.col("expected") - 1) < 0.08)
+
+
+@query("N4_half_thresholds", ", " + EXPECTED.format(weight="a", n0="sum(a) // 2", n1="sum(a) - sum(a) // 2", rest="") + """
+SELECT feature, round(expected, 6) AS expected, TRUE AS as_chance, TRUE AS ordered FROM chance""", "dist")
+def _(spark, d):
+    out = rs.half_thresholds(sides(spark, d)[0], FEATURES)
+    out = with_chance(out, spark, d, mean="mean", halves=True).withColumn("ordered", (F.col("mean") < F.col("p95")) & (F.col("p95") < F.col("p99")))
+    return rounded(out, "expected", digits=6).select("feature", "expected", "as_chance", "ordered")
+
+
+#: A distance far from what chance gives must have the least or a large p-value.
+CLEAR = """
+SELECT feature, round(emd, 6) AS observed, round(expected, 6) AS expected, TRUE AS as_chance, TRUE AS clear
+FROM dist JOIN chance USING (feature)"""
+
+
+def clear(out):
+    ratio = F.col("observed") / F.col("expected")
+    right = F.when(ratio > 4, F.col("p_value") < 0.01).when(ratio < 0.6, F.col("p_value") > 0.5).otherwise(F.col("p_value").between(0, 1))
+    return rounded(out.withColumn("clear", right), "observed", "expected", digits=6).select("feature", "observed", "expected", "as_chance", "clear")
+
+
+@query("N9_permutation_counts", ", " + EXPECTED.format(rest="", **SIDES) + CLEAR, "dist")
+def _(spark, d):
+    return clear(with_chance(rs.permutation_drift(*sides(spark, d), FEATURES), spark, d))
+
+
+@query("N10_bootstrap_counts", ", " + EXPECTED.format(rest="", **SIDES) + CLEAR, "dist")
+def _(spark, d):
+    return clear(with_chance(rs.bootstrap_drift(*sides(spark, d), FEATURES), spark, d))

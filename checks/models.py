@@ -13,6 +13,7 @@ from scanwarden.operators import labels as lab
 from scanwarden.operators import multilabel as ml
 from scanwarden.operators import oneclass as oc
 from scanwarden.operators import profile as pro
+from scanwarden.operators import similarity as sm
 from scanwarden.plans import registry
 from scanwarden.sources.table_scans import as_of, table
 
@@ -104,6 +105,19 @@ def _(spark, d):
     return rounded(similar(spark, d), "similarity", digits=6)
 
 
+@plain("C12_similarity_index", SIMILAR + "SELECT count(*) AS answers, TRUE AS recalled, TRUE AS bounded FROM r WHERE rank <= 3")
+def _(spark, d):
+    """Answers of the index with a recall of 0.95 against the exact ones."""
+    df = table(spark, d, "embeddings")
+    index = sm.build_index(df.where("label <> 0"), "vec_id", block_rows=256)
+    found = sm.search(index, df.where("label = 0"), "vec_id", k=3, threshold=0.1, recall=0.95)
+    exact = sm.search(index, df.where("label = 0"), "vec_id", k=3, threshold=0.1).select("q", "n", F.lit(1).alias("known"))
+    both = exact.join(found.select("q", "n", F.lit(1).alias("found")), ["q", "n"], "left")
+    out = both.agg(F.count("*").alias("answers"), (F.count("found") >= 0.9 * F.count("*")).alias("recalled"))
+    beside = found.groupBy("q").agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c") <= 3, F.lit(True)).alias("bounded"))
+    return out.crossJoin(F.broadcast(beside))
+
+
 @plain("M9_cold_start", SIMILAR + """
 , n AS (SELECT vec_id, max(sim) AS b FROM r WHERE rank <= 3 GROUP BY 1),
 i AS (SELECT vec_id, vec_id % 101 AS s FROM embeddings)
