@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanwarden.llm.shared import encoded, in_batches, laid_out, texts, word_shingles, written
+from scanwarden.llm.shared import encoded, free_names, in_batches, laid_out, texts, word_shingles, written
 
 FILTER_BITS = 24  # 2 MB for each size class, whatever the number of items
 SIZE_CLASSES = 16  # by powers of two; the last one has no end
@@ -131,6 +131,7 @@ def contaminated(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text:
 
 def without_contamination(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = contaminated(docs, items, ident, text, **options).select(F.col("doc_id").alias("_bad"), F.col("body").alias("_body")).distinct()
+    bad, found = free_names(docs, "_bad", "_found")
+    pairs = contaminated(docs, items, ident, text, **options).select(F.col("doc_id").alias(bad), F.col("body").alias(found)).distinct()
     body = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.join(bad, docs[ident].cast("long").eqNullSafe(F.col("_bad")) & (body == F.col("_body")), "left_anti")
+    return docs.join(pairs, docs[ident].cast("long").eqNullSafe(F.col(bad)) & (body == F.col(found)), "left_anti")

@@ -19,28 +19,79 @@ PHRASES: dict[str, str] = {
     "cc by nc": "cc-by-nc",
 }
 
-#: ``[...]`` may be left out, ``<n>`` stands for up to n words of any kind, all else must be there word for word.
+#: ``[...]`` may be left out, ``<n>`` stands for up to n words of any kind, all else must be there word for word. Whole licence
+#: texts and notices are given whole, so that one with altered conditions is not taken for them.
 TEMPLATES: dict[str, str] = {
     "agpl-3": "licensed under [the terms of] the gnu affero general public license [agpl] version 3 [0] [or [at your option] any later version]",
+    "agpl-3-notice": "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of "
+                     "the license [or [at your option] any later version]",
     "apache-2": "licensed under the apache license version 2 [0 [the license]]",
+    "apache-2-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you "
+                       "may obtain a copy of the license at <1> www apache org licenses license 2 0 unless required by applicable law or agreed to in "
+                       "writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+                       "either express or implied see the license for the specific language governing permissions and limitations under the license",
     "bsd-2": "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
              "conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the "
-             "following disclaimer [2] redistributions in binary form must reproduce the above copyright notice",
+             "following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+             "the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by "
+             "<6> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness "
+             "for a particular purpose are disclaimed in no event shall <6> be liable for any direct indirect incidental special exemplary or "
+             "consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+             "business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+             "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3": "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+             "conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the "
+             "following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+             "the following disclaimer in the documentation and or other materials provided with the distribution [3] neither the name of <8> "
+             "nor the names of <2> contributors may be used to endorse or promote products derived from this software without specific prior "
+             "written permission this software is provided by <6> as is and any express or implied warranties including but not limited to the "
+             "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <6> be liable for any "
+             "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods "
+             "or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+             "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of "
+             "the possibility of such damage",
     "cc-by": "licensed under [a] [the] creative commons attribution <2> [international] license",
     "cc-by-nc": "licensed under cc by nc [4 0]",
     "cc-by-sa": "licensed under cc by sa [4 0]",
     "gpl-2": "licensed under [the terms of] the gnu general public license [gpl] version 2 [or [at your option] any later version]",
+    "gpl-2-notice": "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the "
+                    "license [or [at your option] any later version]",
     "gpl-3": "[this <3> is] licensed under [the terms of] the gnu general public license [as published by the free software foundation] [gpl] "
              "version 3 [of the license] [or [at your option] any later version]",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "gpl-3-notice": "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the "
+                    "license [or [at your option] any later version]",
+    "isc": "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that "
+           "the above copyright notice and this permission notice appear in all copies the software is provided as is and <3> disclaims all "
+           "warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <3> be "
+           "liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+           "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of "
+           "this software",
     "lgpl-3": "licensed under [the terms of] the gnu lesser general public license [lgpl] version 3 [or [at your option] any later version]",
+    "lgpl-3-notice": "it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of "
+                     "the license [or [at your option] any later version]",
     "mit": "[<1>] under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
-                "files [the software] to deal in [the software] [<2>] without restriction",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+                "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+                "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do "
+                "so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] "
+                "shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any "
+                "kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+                "noninfringement in no event shall <6> be liable for any claim damages or other liability whether in an action of contract tort "
+                "or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mpl-2": "subject to the terms of the mozilla public license v 2 0 [<4>]",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+                 "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and "
+                 "by any means",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will <6> be held liable for any damages arising "
+            "from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+            "applications and to alter it and redistribute it freely subject to the following restrictions [1] the origin of this software must "
+            "not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+            "acknowledgment in the product documentation would be appreciated but is not required [2] altered source versions must be plainly "
+            "marked as such and must not be misrepresented as being the original software [3] this notice may not be removed or altered from "
+            "any source distribution",
 }
-ALIASES = {"mit-text": "mit"}
+ALIASES = {"agpl-3-notice": "agpl-3", "apache-2-notice": "apache-2", "gpl-2-notice": "gpl-2", "gpl-3-notice": "gpl-3", "lgpl-3-notice": "lgpl-3",
+           "mit-text": "mit"}
 
 
 class Automaton:
@@ -170,7 +221,8 @@ def licences(docs: DataFrame, ident: str = "doc_id", text: str = "text", phrases
     Returns ``doc_id``, ``n_words``, ``n_base`` (places of phrases), ``first_word`` and ``last_word`` (of those), ``base_labels``
     and ``labels`` (arrays; the second adds templates that are matched), ``score`` (0.5 for a phrase or a template's mandatory
     wording, up to 1 with the optional; 0 without any). A null
-    text counts as empty; an empty table gives no rows; other columns are ignored.
+    text counts as empty; a text of any length is read whole; rows that repeat are scanned each; an empty table gives no
+    rows; other columns are ignored.
     """
     kind = docs.schema[ident].dataType.simpleString()
     wanted = {k.encode(): v for k, v in phrases.items()}

@@ -234,7 +234,8 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), group_rows: int = 8192) -
     n = pieces.count()
     groups = max(1, round(n / group_rows))
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # rows may repeat, so their place in the table is part of the hash
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     ordered = dealt.repartition(partitions(spark), "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

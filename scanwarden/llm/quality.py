@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from scanwarden.llm.shared import encoded
+from scanwarden.llm.shared import encoded, free_names
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -107,7 +107,8 @@ def fit(statistics: DataFrame, labels: DataFrame, label: str = "quality", shrink
     """Fits both classes from all labelled rows that are not held out; None without rows of both.
 
     Sums and products are added up by Spark, so the driver sees one row per class. Each covariance is shrunk towards
-    its diagonal by ``shrinkage`` and towards the pooled one by the same share.
+    its diagonal by ``shrinkage`` and towards the pooled one by the same share. Rows and labels that repeat an id count each; rows
+    without an id or a label take no part.
     """
     k = len(NAMES)
     rows = statistics.where(~held_out(F.col("doc_id"))).join(
@@ -137,7 +138,11 @@ def fit(statistics: DataFrame, labels: DataFrame, label: str = "quality", shrink
 
 
 def score(docs: DataFrame, model: Discriminant | None, text: str = "text") -> DataFrame:
-    """All rows and columns with ``score`` (0 to 1, higher: better), replacing a column of that name; 1 without a model."""
-    out = with_statistics(docs, text, "_statistics")
-    value = model.score(F.col("_statistics")) if model else F.lit(1.0)
-    return out.withColumn("score", value).drop("_statistics")
+    """All rows and columns with ``score`` (0 to 1, higher: better), replacing a column of that name; 1 without a model.
+
+    A null text counts as empty; texts are read whole, however long; rows that repeat or have a null id are scored each, equal texts
+    alike; an empty table gives no rows."""
+    held, = free_names(docs, "_statistics")
+    out = with_statistics(docs, text, held)
+    value = model.score(F.col(held)) if model else F.lit(1.0)
+    return out.withColumn("score", value).drop(held)

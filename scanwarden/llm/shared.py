@@ -41,6 +41,17 @@ def texts(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
     return df.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def encoded(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -180,24 +180,6 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return marks.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """One row of each group of near duplicates, with all columns: that with the smallest id.
-
-    A null id is larger than all others. Rows of a group that share the smallest id are told apart by a hash of the text,
-    of which the smallest stays, and of equal rows any one. A row with the same id in another group is not touched.
-    """
-    body = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    kind = docs.schema[ident].dataType.simpleString()
-    rows = docs.select(F.struct(F.col(ident).alias("id"), body.alias("body")).alias("row"), F.col(text).alias("text"))
-    found = near_duplicates(rows, "row", "text", width, distance)
-    rank = F.struct(F.col("doc_id.id").isNull().alias("last"), F.col("doc_id.id").alias("id"), F.col("doc_id.body").alias("body"))
-    # rows of a component share its component_id, which is one of theirs
-    first = found.groupBy("component_id").agg(F.min(rank).alias("first")).select(
-        F.col("first.id").cast(kind).alias("_id"), F.col("first.body").alias("_body"))
-    kept = docs.withColumn("_own", body).join(first, F.col(ident).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_body")), "left_semi")
-    return kept.dropDuplicates([ident, "_own"]).drop("_own")
-
-
 def hexadecimal(column: str = "fp") -> Column:
     """A signed long as 16 hex digits of its 64 bits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

@@ -116,15 +116,16 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     The labels name no category, so a category's label is a toxic label on a text with one of its words; the last link is
     the label itself. About ``most_rows`` rows of each kind are used, chosen by a hash of the id; both kinds weigh the
     same, as a missed toxic text costs more than a false alarm. Up to ``features`` words take part, those that tell toxic from other
-    rows of the sample best, each by ``least_gap`` standard errors or more.
+    rows of the sample best, each by ``least_gap`` standard errors or more. An id that is labelled more than once is toxic if one
+    label says so; of rows that share a labelled id, that with the smallest hash of the text is used; a null text has no words.
     """
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col(label).alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(totals) < 2:
         return None
     share = {y: min(1.0, most_rows / n) for y, n in totals.items()}
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(8)), F.lit(1_000_000)) / 1e6
-    sample = known.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).dropDuplicates(["id"])
+    sample = known.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], ["id", "y", "words"])
 
     # the sample has about 2 * most_rows rows of two numbers, whatever the size of the corpus
-    rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text")).join(
-        F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(ident).alias("doc_id"), F.struct(F.xxhash64(body).alias("h"), body.alias("text")).alias("body"))
+    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).groupBy("id", "y").agg(F.min("body")["text"].alias("text"))
     kind = sample.schema["id"].dataType.simpleString()
     read = written(rows.select("id", F.col("y").cast("int"), "text").mapInArrow(run, f"id {kind}, y int, words map<string,int>"))
     sizes = {r["y"]: r["count"] for r in read.groupBy("y").count().collect()}
@@ -149,12 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))
     hits = read.select("id", F.explode("words").alias("word", "times")).join(known, "word")
     hits = hits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "times"))).alias("counts"))
-    table = read.select("id", "y", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(folds)).alias("fold")).join(hits, "id", "left").orderBy("id").collect()
+    seeded = [F.arrays_overlap(F.map_keys("words"), F.array(*map(F.lit, seeds))).alias(f"seed_{name}") for name, seeds in categories.items()]
+    table = read.select("id", "y", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(folds)).alias("fold"), *seeded).join(hits, "id", "left").orderBy("id").collect()
     found = [r["counts"] or {} for r in table]
     y = np.array([r["y"] for r in table], float)
     told: dict[str, np.ndarray] = {}
-    for name, seeds in categories.items():
-        told[name] = y * np.array([any(s in x for s in seeds) for x in found], float)
+    for name in categories:
+        told[name] = y * np.array([r[f"seed_{name}"] for r in table], float)
     told["toxic"] = y
     weight = np.where(y == 1, 1 / sizes[1], 1 / sizes[0])
     return train_chain(found, vocabulary, told, weight / weight.mean(), np.array([r["fold"] for r in table]))

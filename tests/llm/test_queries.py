@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from scanwarden.llm import packing, quality, simhash
 from scanwarden.llm.queries import QUERIES
+from tests.llm.test_similar import plain_groups
 from tests.llm.test_corpus import lower, plain_components, plain_fingerprint, plain_lines, shingles
 
 
@@ -22,7 +23,6 @@ def tables(spark, sf):
 
 def plain_pieces(rows):
     tokenizer = packing.Tokenizer.from_file(packing.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     out = []
     for i, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -108,18 +108,6 @@ def test_licence_query(spark, sf, tables):
     assert len(got) == len(tables("documents"))
 
 
-def test_one_of_each(spark):
-    rows = [(1, "a b c d e"), (1, "other words stand here alone"), (None, "no id at all but words"), (None, "and one more without any"), (2, "A b c d e"),
-            (None, "A B C D E"), (3, None), (3, ""), (4, ""), (2, "A b c d e"), (5, "x y z"), (5, "x y z"), (5, "X Y Z")]
-    df = spark.createDataFrame([(i, t, "r", 1) for i, t in rows], "doc_id long, text string, row string, component_id int")
-    got = simhash.one_of_each(df)
-    assert got.columns == df.columns
-    found = sorted((str(r.doc_id), (r.text or "").lower()) for r in got.collect())
-    assert found == sorted([("1", "a b c d e"), ("1", "other words stand here alone"), ("None", "no id at all but words"),
-                            ("None", "and one more without any"), ("3", ""), ("5", "x y z")])
-    assert simhash.one_of_each(df.where("false")).count() == 0
-
-
 def test_pipeline(spark, sf, tables):
     """Each stage against a plain version; the classifier's cut is applied to scores of the fitted model."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -133,8 +121,7 @@ def test_pipeline(spark, sf, tables):
     rows = [(i, t) for i, t in rows if score(t) >= 0.3]
     assert 0 < len(rows) < docs.count()
     rows = [(int(i), t) for i, t, *_ in plain_lines(rows)]
-    least = {i: c for i, _, c in plain_near(rows)}
-    rows = [(i, t) for i, t in rows if least[i] == i]
+    rows = [(i, t) for (i, t), least in zip(rows, plain_groups(rows)) if least == i]
     items = [shingles(r.text) for r in tables("benchmark")]
     rows = [(i, t) for i, t in rows if not any(len(x & s) >= math.ceil(0.8 * len(x) - 1e-9) for s in [shingles(t)] for x in items if x)]
     got = corpus_pipeline.run(spark, sf).collect()
