@@ -152,29 +152,24 @@ def disclosing_terms(docs: DataFrame, holders: DataFrame, disclosure: float = 0.
     # a context has at most 64 words, so its pairs are bounded
     both = seen.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
     both = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    beside = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
-    all_contexts = docs.select(F.explode(contexts(F.col(text))).alias("context"))
-    total = float(all_contexts.agg(F.approx_count_distinct(F.xxhash64("context"), 0.02)).first()[0])
-
-    def share(n_term: Column) -> Column:
-        bits = F.log2(F.lit(total + 1) / F.col("n_entity"))
-        return 1 - F.log2(n_term / F.col("n_both")) / bits
-
-    # a term stands in no fewer contexts than those with any entity, so this drops none that could pass
-    pairs = both.join(n_entity, "entity")
-    candidates = pairs.where(F.col("n_both") >= least_contexts).join(beside, "term").where(share(F.col("n_beside")) >= disclosure)
-    candidates = written(candidates.drop("n_beside"))
-    stems = candidates.select(_stem(F.col("term")).alias("stem")).distinct()
-    words = all_contexts.select(F.md5("context").alias("h"), F.explode(_terms(F.col("context"))).alias("term"))
-    words = words.withColumn("stem", _stem(F.col("term"))).join(stems, "stem", "left_semi")
-    n_term = written(words.distinct().groupBy("term").agg(F.count("*").alias("n_term")))
-    found = candidates.join(n_term, "term").withColumn("disclosed", share(F.col("n_term"))).where(F.col("disclosed") >= disclosure)
+    # equal contexts are dropped before their words are counted; the empty term counts the contexts themselves
+    every = docs.select(F.explode(contexts(F.col(text))).alias("context")).distinct()
+    words = every.select(F.explode(F.concat(F.array(F.lit("")), _terms(F.col("context")))).alias("term"))
+    n_term = written(words.groupBy("term").agg(F.count("*").alias("n_term")))
+    first = n_term.where(F.col("term") == "").first()
+    total = float(first["n_term"] if first else 0)
+    bits = F.log2(F.lit(total + 1) / F.col("n_entity"))
+
+    def share(of_all: str, beside: str) -> Column:
+        return 1 - F.log2(F.col(of_all) / F.col(beside)) / bits
+
+    found = both.where(F.col("n_both") >= least_contexts).join(n_entity, "entity").join(n_term, "term")
+    found = found.withColumn("disclosed", share("n_term", "n_both")).where(F.col("disclosed") >= disclosure)
     # the same for all words with the stem together, counted by (word, context)
     by_stem = n_term.groupBy(_stem(F.col("term")).alias("stem")).agg(F.sum("n_term").alias("stem_term"))
     stem_both = both.groupBy("entity", _stem(F.col("term")).alias("stem")).agg(F.sum("n_both").alias("stem_both"))
     found = found.withColumn("stem", _stem(F.col("term"))).join(by_stem, "stem").join(stem_both, ["entity", "stem"])
-    bits = F.log2(F.lit(total + 1) / F.col("n_entity"))
-    less = 1 - F.log2(F.col("stem_term") / F.col("stem_both")) / bits < disclosure
+    less = share("stem_term", "stem_both") < disclosure
     shorter = F.length("term") > STEM
     return found.select("entity", "term", "n_both", "n_term", "n_entity", "disclosed", F.when(less & shorter, F.col("stem")).otherwise("").alias("general"))
 
