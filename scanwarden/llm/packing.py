@@ -12,6 +12,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,10 +27,22 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _PARTS = re.compile(r"[a-z\x80-\U0010ffff]+|[!-&(-/:-@\[-`{-~]+|.", re.S)
 #: Single punctuation that ends most words of prose.
 _STOPS = b".,;:!?"
+#: Texts whose runs are told apart together have about so many bytes.
+_AT_ONCE_BYTES = 8 << 20
 #: The only letter whose lower case is more than letters.
 _DOTTED = "\u0130"
 
 
+def _each_bytes(column: pa.LargeStringArray) -> list[bytes]:
+    """The values of a column without nulls or offset, cut from its buffer."""
+    if not len(column):
+        return []
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64, len(column) + 1).tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[x:y] for x, y in zip(at, at[1:])]
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit numbers.
 
@@ -41,7 +54,7 @@ class Encoder:
     (``<|endoftext|>``) is known by its own case and wherever it stands, so a text that holds one is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000, at_once: int = 256):
+    def __init__(self, path: str, most: int = 800_000, at_once: int = 8192):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -49,28 +62,52 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.stops = dict(zip(_STOPS, self._each([chr(c) for c in _STOPS])))
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.earlier: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.most, self.at_once = most, at_once
 
     def ids(self, texts_: list[bytes]) -> Iterator[bytes]:
-        for low in range(0, len(texts_), self.at_once):
-            some = texts_[low : low + self.at_once]
-            whole = {i for i, x in enumerate(some) if any(t in x for t in self.special)}
-            split = [[] if i in whole else x.lower().split() for i, x in enumerate(some)]
-            if len(self.known) > self.most:
-                self.known, self.earlier = {}, self.known
-            if len(self.parts) > self.most:
-                self.parts.clear()
-            new = set().union(*split).difference(self.known)
-            if self.earlier:
-                again = new.intersection(self.earlier)
-                self.known.update((w, self.earlier[w]) for w in again)
-                new -= again
-            self._learn(new)
-            for i, words in enumerate(split):
-                yield self._each([some[i].decode("utf-8", "replace")])[0] if i in whole else b"".join(map(self.known.__getitem__, words))
+        low = 0
+        while low < len(texts_):
+            high, size = low, 0
+            while high < len(texts_) and (high == low or high - low < self.at_once and size + len(texts_[high]) < _AT_ONCE_BYTES):
+                size += len(texts_[high])
+                high += 1
+            yield from self._some(texts_[low:high])
+            low = high
+
+    def _some(self, some: list[bytes]) -> Iterator[bytes]:
+        """Runs are told apart once for all texts; their ids are laid out by number."""
+        whole = {i for i, x in enumerate(some) if any(t in x for t in self.special)}
+        plain = pa.array([b"" if i in whole else x for i, x in enumerate(some)], pa.large_binary()).view(pa.large_string())
+        runs = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        edges = runs.offsets.to_numpy()
+        numbered = runs.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        names = _each_bytes(numbered.dictionary)
+        found = self._of_runs(names)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids = np.frombuffer(b"".join(found), "<u4")
+        number = numbered.indices.to_numpy()
+        each = sizes[number]
+        ends = np.cumsum(each)
+        starts = (np.cumsum(sizes) - sizes)[number]
+        laid = ids[np.repeat(starts - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[edges - edges[0]].tolist()
+        for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            yield self._each([some[i].decode("utf-8", "replace")])[0] if i in whole else laid[x:y].tobytes()
+
+    def _of_runs(self, names: list[bytes]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known, self.earlier = {b"": b""}, self.known
+        found = [*map(self.known.get, names)]
+        new = {w for w, x in zip(names, found) if x is None}
+        if new:
+            again = new.intersection(self.earlier)
+            self.known.update((w, self.earlier[w]) for w in again)
+            self._learn(new - again)
+            found = [self.known[w] if x is None else x for w, x in zip(names, found)]
+        return found
 
     def _learn(self, runs: set[bytes]) -> None:
         words: dict[bytes, None] = {}
