@@ -17,7 +17,8 @@ from scanwarden.session import shared_folder
 from scanwarden.sources import findings_log, scan_files, training_sets
 from scanwarden.sources.table_scans import as_of
 from scanwarden.streaming import findings as accounted
-from scanwarden.streaming import jobs
+from scanwarden.streaming import jobs, vectors
+from scanwarden.streaming.in_order import prepare
 
 TIMES = "yyyy-MM-dd HH:mm:ss"
 TIME_SQL = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
@@ -195,7 +196,7 @@ SELECT event_id, 'finding' AS kind, ord AS "evtOrderErr", dup AS "epcDup", loc A
 UNION ALL SELECT event_id, 'late', NULL, NULL, NULL FROM late""", "dated prev found")
 def _(spark, d):
     """Three rounds of the same stream: the scans, those that come late, and a row that moves the watermark past all."""
-    accounted.prepare(spark)
+    prepare(spark)
     path, out, checkpoint, df = shared_folder(spark), shared_folder(spark), shared_folder(spark), scans(spark, d)
     last = df.limit(1).withColumns({"event_time": F.lit(END).cast("timestamp"), "epc_code": F.lit("END"), "event_id": F.lit(-1).cast("long")})
     for part in (df.where(f"NOT {LATE}"), df.where(LATE), last):
@@ -217,6 +218,26 @@ def _(spark, d):
     return newest.withColumns({"first_time": when("first_time"), "last_time": when("last_time"), "business_rate": F.round("business_rate", 6)})
 
 
+@query("O4_stream_vectors", """
+, e AS (SELECT file_id, epc_code, location_id + device_id + hour(event_time) AS x, (event_id % 10) / 10.0 AS c,
+  row_number() OVER (PARTITION BY file_id, epc_code ORDER BY event_time, event_id) AS i, count(*) OVER (PARTITION BY file_id, epc_code) AS m FROM scans),
+w AS (SELECT *, CASE WHEN file_id <> 0 AND i = 1 THEN pow(0.9, m - 1) ELSE 0.1 * pow(0.9, m - i) END AS w FROM e)
+SELECT file_id, epc_code, round(sum(w * x) + CASE WHEN file_id = 0 THEN 6 * pow(0.9, m) ELSE 0 END + 1e-8, 6) AS total,
+  round((sum(c)::DOUBLE + CASE WHEN file_id = 0 THEN 1 ELSE 0 END) / (m + CASE WHEN file_id = 0 THEN 2 ELSE 0 END), 6) AS confidence,
+  (m + CASE WHEN file_id = 0 THEN 2 ELSE 0 END)::BIGINT AS updates FROM w GROUP BY file_id, epc_code, m""")
+def _(spark, d):
+    """Vectors of place, device and hour; items of the first file are known before the stream. Sums are short decimals: 1e-8 parts ties."""
+    prepare(spark)
+    cells = [F.col(c).cast("double") for c in ("location_id", "device_id")]
+    events = stream(spark, d).withColumns({"embedding": F.array(*cells, F.hour("event_time").cast("double")), "confidence": F.col("event_id") % 10 / 10.0})
+    known = scans(spark, d).where("file_id = 0").select("file_id", "epc_code").distinct().withColumns(
+        {"embedding": F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), "confidence": F.lit(0.5), "updates": F.lit(2)})
+    out = drained(vectors.stream_vectors(events, known)).where("NOT late AND epc_code <> 'END'")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    last = out.groupBy("file_id", "epc_code").agg(F.max(F.struct("updates", (total + 1e-8).alias("total"), "confidence")).alias("r"))
+    return rounded(last.select("file_id", "epc_code", "r.*"), "total", "confidence", digits=6).select("file_id", "epc_code", "total", "confidence", "updates")
+
+
 def bucket_sql(seconds: int, shift: int = 0) -> str:
     return f"strftime(make_timestamp(((epoch(event_time)::BIGINT // {seconds}) * {seconds} - {shift}) * 1000000), '%Y-%m-%d %H:%M:%S')"
 

@@ -3,48 +3,37 @@
 from __future__ import annotations
 
 import datetime
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from scanwarden.streaming.in_order import InOrder
 from scanwarden.streaming.jobs import _flags, _tie_is_duplicate
 
-FOUND = ("file_id int, epc_code string, event_id long, event_time timestamp, kind string, evtOrderErr boolean, epcDup boolean, locErr boolean")
+FOUND = "file_id int, epc_code string, event_id long, event_time timestamp, kind string, evtOrderErr boolean, epcDup boolean, locErr boolean"
+_NAMES = ("time", "id", "kind", "step", "place")
 _EVENT = "time long, id long, kind string, step string, place string"
 
 
-class ItemRules(StatefulProcessor):
-    """Rules of one item. State: the last event the watermark has passed, the events it has not passed, and one timer."""
+class ItemRules(InOrder):
+    """Rules of one item, with the last event that the watermark has passed."""
 
     def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+        super().__init__(_EVENT, ttl_ms)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def started(self, handle) -> None:
         self.last = handle.getValueState("last", _EVENT)
-        self.pending = handle.getListState("pending", _EVENT)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        edge = timerValues.getCurrentWatermarkInMs() * 1000
-        fresh, late = [], []
-        for r in rows:
-            (late if r["moment"] < edge else fresh).append(r)
-        if fresh:
-            self.pending.appendList([(r["moment"], r["event_id"], r["event_type"], r["business_step"], r["scan_location"]) for r in fresh])
-            self._wake(min(r["moment"] for r in fresh) // 1000 + 1)
-        for r in late:
-            yield self._row(key, r["moment"], r["event_id"], "late", None, None, None)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = sorted([dict(zip(("time", "id", "kind", "step", "place"), e)) for e in self.pending.get()], key=lambda e: (e["time"], e["id"]))
-        ready = [e for e in held if e["time"] < now * 1000]
-        rest = held[len(ready):]
-        last = dict(zip(("time", "id", "kind", "step", "place"), self.last.get())) if self.last.exists() else None
+
+    def event(self, r: Row) -> tuple:
+        return r["moment"], r["event_id"], r["event_type"], r["business_step"], r["scan_location"]
+
+    def late(self, key, event: tuple) -> Iterator[Row]:
+        yield self._row(key, event[0], event[1], "late", None, None, None)
+
+    def passed(self, key, events: list[tuple]) -> Iterator[Row]:
+        ready = [dict(zip(_NAMES, e)) for e in events]
+        last = dict(zip(_NAMES, self.last.get())) if self.last.exists() else None
         i = 0
         while i < len(ready):
             j = i
@@ -57,50 +46,23 @@ class ItemRules(StatefulProcessor):
                 if order or place or duplicate:
                     yield self._row(key, event["time"], event["id"], "finding", order, duplicate, place)
             i = j
-        if ready:
-            self.last.update(tuple(last.values()))
-            if rest:
-                self.pending.put([tuple(e.values()) for e in rest])
-            else:
-                self.pending.clear()
-        if rest:
-            self._wake(max(rest[0]["time"] // 1000, now) + 1, now)
-        elif last is not None and last["time"] // 1000 + self.ttl_ms <= now:
-            self.last.clear()
-        elif last is not None:
-            self._wake(last["time"] // 1000 + self.ttl_ms, now)
-
-    def _wake(self, at_ms: int, passed: int = -1) -> None:
-        """One timer: the earliest moment at which there is something to do. The one that has just gone off is still listed."""
-        known = [t for t in self.handle.listTimers() if t > passed]
-        if not known or at_ms < min(known):
-            for t in known:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at_ms)
+        self.last.update(tuple(last.values()))
+
+    def forget(self) -> None:
+        self.last.clear()
 
     def _row(self, key, moment: int, number: int, kind: str, order, duplicate, place) -> Row:
         time = datetime.datetime.fromtimestamp(moment / 1e6)
         return Row(file_id=key[0], epc_code=key[1], event_id=number, event_time=time, kind=kind, evtOrderErr=order, epcDup=duplicate, locErr=place)
 
-    def close(self) -> None:
-        pass
-
 
 def stream_findings(events: DataFrame, ttl_days: float = 30.0) -> DataFrame:
     """Order, duplicate and location findings (``kind`` finding) as the batch rules give them, and every row that came after the watermark
     had passed its time (``kind`` late): none is dropped unseen, and none changes what was already said.
 
     Ties in time are seen together, so an item's events wait until the watermark passes them. An item is forgotten ``ttl_days`` of event
-    time after its last event; a later one starts anew. Needs ``prepare``.
+    time after its last event; a later one starts anew. Needs ``in_order.prepare``.
     """
     # a time without the watermark's mark: rows behind it would be dropped before they are seen
     rows = events.select("file_id", "epc_code", "event_id", F.unix_micros("event_time").alias("moment"), "event_type", "business_step", "scan_location")
     return rows.groupBy("file_id", "epc_code").transformWithState(ItemRules(int(ttl_days * 86_400_000)), FOUND, "Append", "EventTime")
-
-
-def prepare(spark: SparkSession) -> None:
-    """Settings of ``stream_findings``: the state store it needs, and the package's folder for the worker that sets up the processor."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    folder, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH")
-    if folder not in (known or "").split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [folder, known]))
