@@ -12,12 +12,13 @@ from checks.thresholds import training
 from scanwarden import constants as C
 from scanwarden import schemas
 from scanwarden.operators import detect_epc
+from scanwarden.operators import drift as dr
 from scanwarden.operators import features as fe
 from scanwarden.session import shared_folder
 from scanwarden.sources import findings_log, scan_files, training_sets
 from scanwarden.sources.table_scans import as_of
 from scanwarden.streaming import findings as accounted
-from scanwarden.streaming import jobs, vectors
+from scanwarden.streaming import jobs, sketches, vectors
 from scanwarden.streaming.in_order import prepare
 
 TIMES = "yyyy-MM-dd HH:mm:ss"
@@ -288,3 +289,27 @@ s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY epc_code ORDER BY event_time)
 SELECT epc_code, strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY epc_code, n""")
 def _(spark, d):
     return spans(drained(jobs.sessions(stream(spark, d))))
+
+
+SPAN = 30 * 86400
+
+
+@query("O6_sliding_drift", f"""
+, v AS (SELECT epoch(event_time)::BIGINT // {SPAN} AS b, count(*) AS n FROM scans GROUP BY 1),
+w AS (SELECT e.b, sum(v.n) FILTER (v.b <= e.b - 2) AS r, sum(v.n) FILTER (v.b > e.b - 2) AS t FROM v e JOIN v ON v.b BETWEEN e.b - 7 AND e.b GROUP BY 1)
+SELECT feature, strftime(make_timestamp(b * {SPAN} * 1000000), '%Y-%m-%d %H:%M:%S') AS start, r::BIGINT AS n_reference, t::BIGINT AS n_test, TRUE AS within
+FROM w, (VALUES ('location_id'), ('device_id'), ('hour')) f(feature) WHERE r IS NOT NULL""")
+def _(spark, d):
+    """Two spans of 30 days against the six before, by sketches of a stream; ``within``: no further from the exact distance than the bound says."""
+    hours = F.hour("event_time")
+    buckets = drained(sketches.bucket_sketches(stream(spark, d).withColumn("hour", hours), FEATURES, "30 days"))
+    found = sketches.sliding_drift(buckets, SPAN, reference=6, test=2)
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])
+    counts = scans(spark, d).withColumn("hour", hours).select(F.expr(f"unix_seconds(event_time) div {SPAN}").alias("bucket"), F.inline(cells))
+    counts = counts.groupBy("bucket", "feature", "value").agg(F.count("*").alias("n"))
+    spread = counts.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("side", F.when(F.col("back") < 2, 1).otherwise(0))
+    spread = spread.withColumn("start", F.timestamp_seconds((F.col("bucket") + F.col("back")) * SPAN))
+    spread = spread.join(found.select("feature", "start"), ["feature", "start"], "left_semi")
+    exact = dr.distances(spread, ["feature", "start"], F.col("n")).select("feature", "start", F.col("emd").alias("exact"))
+    return found.join(exact, ["feature", "start"]).select(
+        "feature", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_reference", "n_test", (F.abs(F.col("emd") - F.col("exact")) <= F.col("bound")).alias("within"))
