@@ -96,6 +96,15 @@ def _(spark, d):
     return newest.select("event_id", *[F.coalesce(F.col(t), F.lit(False)).alias(t) for t in ("epcFake", "epcDup")], "run_id")
 
 
+@query("A8_run_written_again", """SELECT 'run' AS run_id, count(*) AS findings, count(DISTINCT event_id) AS events FROM findings""", "dated prev found")
+def _(spark, d):
+    """A run that is written in part, then whole: the second attempt is the run."""
+    path, events, found = shared_folder(spark), scans(spark, d), findings(spark, d)
+    findings_log.write_findings_log(found.where(F.col("file_id") == 0), events, path, "run", as_of())
+    findings_log.write_findings_log(found, events, path, "run", as_of())
+    return findings_log.logged_findings(spark, path).groupBy("run_id").agg(F.count("*").alias("findings"), F.count_distinct("event_id").alias("events"))
+
+
 def stored(spark: SparkSession, d: str) -> str:
     path = shared_folder(spark)
     training_sets.write_training_set(training(spark, d), path, "epcFake", fe.FAKE, as_of())

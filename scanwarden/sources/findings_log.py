@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -25,26 +26,57 @@ def run_summary(findings: DataFrame, events: DataFrame, run_id: str, run_ts: Col
 
 
 def write_findings_log(findings: DataFrame, events: DataFrame, path: str, run_id: str, run_ts: Column) -> None:
-    """Appends the findings and the summary of a run; the summary counts what was written."""
-    tagged = findings.withColumns({"run_id": F.lit(run_id), "run_ts": run_ts, "run_date": run_ts.cast("date")})
+    """Writes the findings of a run and then its summary, which counts what was written and is the run's entry in the list of runs.
+
+    The entry is one row in one file, which a job's commit moves into place, so a run is listed whole or not at all. Each call is an
+    attempt of its own: a run that is written again is listed again, and readers take its newest attempt.
+    """
+    attempt = uuid.uuid4().hex
+    tagged = findings.withColumns({"run_id": F.lit(run_id), "run_ts": run_ts, "attempt": F.lit(attempt), "run_date": run_ts.cast("date")})
     tagged.write.mode("append").partitionBy("run_date").parquet(f"{path}/findings")
     kept = events.sparkSession.read.schema(tagged.schema).parquet(f"{path}/findings")
-    kept = kept.where((F.col("run_id") == run_id) & (F.col("run_date") == run_ts.cast("date")) & (F.col("run_ts") == run_ts))
-    summary = run_summary(kept, events, run_id, run_ts)
-    summary.withColumn("run_date", run_ts.cast("date")).write.mode("append").partitionBy("run_date").parquet(f"{path}/runs")
+    kept = kept.where((F.col("attempt") == attempt) & (F.col("run_date") == run_ts.cast("date")))
+    summary = run_summary(kept, events, run_id, run_ts).withColumns({"attempt": F.lit(attempt), "written_at": F.current_timestamp(), "run_date": run_ts.cast("date")})
+    summary.coalesce(1).write.mode("append").parquet(f"{path}/runs")
 
 
-def latest_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of the newest run; an empty table with the columns of a run when there is no log yet."""
+def _runs(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        runs = spark.read.parquet(f"{path}/runs")
+        return spark.read.parquet(f"{path}/runs")
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+        return None
+
+
+def logged_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The summary of each listed run, by its newest attempt; None when there is no log yet."""
+    runs = _runs(spark, path)
+    if runs is None:
+        return None
+    newest = F.max(F.struct("written_at", "attempt", *[c for c in runs.columns if c not in ("run_id", "written_at", "attempt")])).alias("r")
+    return runs.groupBy("run_id").agg(newest).select("run_id", "r.*")
+
+
+def logged_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of all listed runs, each by its newest attempt; what an attempt left that was not listed is not seen. An empty table
+    with the columns of a run when there is no log yet."""
+    runs = logged_runs(spark, path)
+    if runs is None:
         flags = ", ".join(f"{t} boolean, {t}Score int" for t in C.STATS_TYPES)
         return spark.createDataFrame([], f"event_id long, file_id int, epc_code string, {flags}, run_id string, run_ts timestamp, run_date date")
-    newest = runs.orderBy(F.desc("run_ts")).limit(1).select("run_id", "run_date")
-    return spark.read.parquet(f"{path}/findings").join(F.broadcast(newest), ["run_id", "run_date"], "left_semi")
+    listed = runs.select("run_id", "attempt", "run_date")
+    return spark.read.parquet(f"{path}/findings").join(listed, ["run_id", "attempt", "run_date"], "left_semi").drop("attempt")
+
+
+def latest_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of the newest listed run; see ``logged_findings``."""
+    runs = logged_runs(spark, path)
+    every = logged_findings(spark, path)
+    if runs is None:
+        return every
+    newest = runs.orderBy(F.desc("run_ts"), F.desc("written_at")).limit(1).select("run_id", "run_date")
+    return every.join(F.broadcast(newest), ["run_id", "run_date"], "left_semi")
 
 
 def to_response_json(findings: DataFrame, page_rows: int = 10_000) -> DataFrame:

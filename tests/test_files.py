@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from scanwarden import constants as C
 from scanwarden import schemas
 from scanwarden.operators import detect_events
 from scanwarden.plans import pipelines, registry
@@ -115,3 +116,25 @@ def test_train_from_scans(spark, sf):
     models, split = pipelines.train_from_scans(scans(spark, sf), as_of(), ["epcFake", "jump"], steps=2, hot=None)
     assert {r["anomaly_type"] for r in models.collect()} == {"epcFake", "jump"}
     assert split.where("split = 'eval'").count() == 1
+
+
+def test_a_run_written_again_replaces_itself(spark, tmp_path):
+    """A retried run, and one that broke off before it was listed."""
+    path = str(tmp_path / "log")
+    day = lambda n: F.lit(f"2025-01-0{n} 00:00:00").cast("timestamp")
+    flags = ", ".join(f"{t} boolean, {t}Score int" for t in C.STATS_TYPES)
+    rows = [(i, 1, f"e{i}", *[x for t in C.STATS_TYPES for x in (True, 80)]) for i in range(6)]
+    found = spark.createDataFrame(rows, f"event_id long, file_id int, epc_code string, {flags}")
+    events = found.select("event_id", "file_id", "epc_code")
+    findings_log.write_findings_log(found, events, path, "first", day(1))
+    findings_log.write_findings_log(found.where("event_id < 4"), events, path, "second", day(2))
+    findings_log.write_findings_log(found.where("event_id < 5"), events, path, "second", day(2))
+    # a third run whose job was lost after its findings: the summary is never written
+    lost = found.withColumns({"run_id": F.lit("third"), "run_ts": day(3), "attempt": F.lit("x"), "run_date": day(3).cast("date")})
+    lost.write.mode("append").partitionBy("run_date").parquet(f"{path}/findings")
+    assert sorted(r.event_id for r in findings_log.latest_findings(spark, path).collect()) == [0, 1, 2, 3, 4]
+    assert {(r.run_id, r.findings) for r in findings_log.logged_runs(spark, path).collect()} == {("first", 6), ("second", 5)}
+    assert findings_log.logged_findings(spark, path).groupBy("run_id").count().where("count <> CASE run_id WHEN 'first' THEN 6 ELSE 5 END").count() == 0
+    # written once more, the lost run is there whole
+    findings_log.write_findings_log(found, events, path, "third", day(3))
+    assert findings_log.latest_findings(spark, path).count() == 6
