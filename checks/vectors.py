@@ -6,7 +6,9 @@ from checks.base import AS_OF_SQL, PARTS, SHARED, W, direction_sql, hot, level_s
 from checks.items import norm, norm_raw
 from checks.journey import rounded
 from checks.profiles import ENTROPY_SQL
+from scanwarden.functions import moves
 from scanwarden.operators import features as fe
+from scanwarden.plans import table_functions
 from scanwarden.sources.table_scans import as_of
 
 
@@ -242,3 +244,24 @@ def _(spark, d):
     return rounded(df, "time_gap_zscore", "time_gap_log", "location_entropy").select(
         "event_id", "time_gap_seconds", "time_gap_zscore", "scan_position", "total_scans", "location_changed", "hub_type_changed", "hour",
         "time_gap_log", "location_entropy")
+
+
+@query("U4_order_violations_sql", f"""
+SELECT file_id, epc_code, event_id, pos AS position, {NAMED.format('p_stage')} AS from_stage, {NAMED.format('stage')} AS to_stage,
+  event_type_raw AS event_type, scan_location FROM kinds WHERE stage < p_stage""", "kinds")
+def _(spark, d):
+    table_functions.register_table_functions(spark)
+    rows = moves.with_event_kind(scans(spark, d), "event_type_raw")
+    rows = rows.withColumn("stage", moves.stage_of_kind(F.col("_kind"))).withColumn("stage_rank", moves.stage_rank(F.col("stage")))
+    rows.select("file_id", "epc_code", "event_id", "event_time", "stage", "stage_rank", F.col("event_type_raw").alias("event_type"), "scan_location").createOrReplaceTempView("staged_scans")
+    return spark.sql("SELECT * FROM order_violations(TABLE(staged_scans))")
+
+
+@query("U4_location_violations_sql", """
+, b AS (SELECT *, pos - 1 AS position, level - p_level AS j FROM steps WHERE level <> 99 AND p_level <> 99)
+SELECT file_id, epc_code, event_id, position, p_place AS from_location, scan_location AS to_location, p_level AS from_level, level AS to_level,
+  j AS level_jump, CASE WHEN abs(j) > 2 THEN 'big_jump' ELSE 'reverse_jump' END AS violation_type FROM b WHERE abs(j) > 2 OR j < -1""", "dated norm")
+def _(spark, d):
+    table_functions.register_table_functions(spark)
+    fe._levels(norm(spark, d)).select("file_id", "epc_code", "event_id", "event_time", "scan_location", F.col("_level").alias("level")).createOrReplaceTempView("levelled_scans")
+    return spark.sql("SELECT * FROM location_violations(TABLE(levelled_scans))")
