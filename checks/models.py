@@ -1,5 +1,7 @@
 """One-class and multi-label models, similarity, explanations."""
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from checks.base import FAKE_SQL, hot, plain, query, scans
@@ -9,6 +11,7 @@ from checks.thresholds import training
 from scanwarden import constants as C
 from scanwarden.operators import detect_events as det
 from scanwarden.operators import features as fe
+from scanwarden.operators import focal as fo
 from scanwarden.operators import labels as lab
 from scanwarden.operators import multilabel as ml
 from scanwarden.operators import oneclass as oc
@@ -194,3 +197,52 @@ def _(spark, d):
     df = scored(spark, d)
     df = df.withColumns({f"{t}_detected": F.col(f"{t}_probability") > 0.97 for t in C.STATS_TYPES} | {f"{t}_score": F.col(f"{t}_probability") for t in C.STATS_TYPES})
     return rounded(pro.prediction_summary(df, C.STATS_TYPES), "anomaly_rate", "percent", "mean_score", digits=6)
+
+
+FOCAL_FEATURES = {"location_id": (30.0, 20.0), "device_id": (25.0, 15.0), "operator_id": (50.0, 30.0)}
+FOCAL_WEIGHTS = {t: (0.3 * i - 0.5, 0.2, 0.1 * i, -1.0 + 0.2 * i) for i, t in enumerate(C.STATS_TYPES)}
+
+
+def focal_rows(spark, d):
+    """Scans with three numbers and the types that the rules find."""
+    found = findings(spark, d).select("event_id", *[F.coalesce(F.col(t), F.lit(False)).alias(t) for t in C.STATS_TYPES])
+    df = scans(spark, d).join(found, "event_id", "left").fillna(False, list(C.STATS_TYPES))
+    numbers = F.array(*[F.col(c).cast("double") for c in FOCAL_FEATURES])
+    return df.select("event_id", array_to_vector(numbers).alias("features"), F.array(*[F.col(t).cast("int") for t in C.STATS_TYPES]).alias("label"),
+                     (F.col("event_id") % 5 == 0).alias("held"))
+
+
+FOUND = {"epcFake": "f_fake", "epcDup": "f_dup", "locErr": "f_loc", "evtOrderErr": "f_ord"}
+FOCAL_Z = {t: " + ".join(f"({c} - {m})/{s}*({w})" for (c, (m, s)), w in zip(FOCAL_FEATURES.items(), FOCAL_WEIGHTS[t])) + f" + ({FOCAL_WEIGHTS[t][3]})" for t in FOUND}
+
+
+@query("M6_focal_loss", "\n, p AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS anomaly_type, coalesce({y}, false) AS y, event_id % 5 = 0 AS held, 1/(1 + exp(-({FOCAL_Z[t]})::DOUBLE)) AS p FROM scans LEFT JOIN (SELECT event_id, {y} FROM findings) f USING (event_id)"
+    for t, y in FOUND.items()) + """),
+l AS (SELECT *, CASE WHEN y THEN -0.7*3*pow(1 - p, 2)*ln(p) ELSE -0.3*pow(p, 2)*ln(1 - p) END AS loss FROM p)
+SELECT anomaly_type, round(sum(loss) FILTER (NOT held) / count(*), 6) AS training, round(sum(loss) FILTER (held) / count(*), 6) AS held FROM l GROUP BY 1""", "dated prev found")
+def _(spark, d):
+    names = list(C.STATS_TYPES)
+    trial = np.array([[FOCAL_WEIGHTS[t] for t in names]])
+    center, spread = (np.array(v) for v in zip(*FOCAL_FEATURES.values()))
+    cells = fo.cells_of(focal_rows(spark, d), "features", "label", len(names), "held")
+    loss, _, held = fo.pass_sums(cells, trial, center, spread, np.full(len(names), 3.0), 0.7, 2.0)
+    n = cells.count()
+    rows = [(t, float(loss[0, i]) / n, float(held[0, i]) / n) for i, t in enumerate(names) if t in FOUND]
+    return rounded(spark.createDataFrame(rows, "anomaly_type string, training double, held double"), "training", "held", digits=6)
+
+
+@query("M6_focal_fit", "\n, p AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS anomaly_type, coalesce({y}, false) AS y FROM scans LEFT JOIN (SELECT event_id, {y} FROM findings) f USING (event_id) WHERE event_id % 5 <> 0"
+    for t, y in FOUND.items()) + """)
+SELECT anomaly_type, count(*) AS "rows", count(*) FILTER (y) AS positives, true AS falls, true AS kept_best FROM p GROUP BY 1
+HAVING count(*) FILTER (y) BETWEEN 1 AND count(*) - 1""", "dated prev found")
+def _(spark, d):
+    rows = focal_rows(spark, d)
+    models = fo.fit_focal(rows, validation="held")
+    best = models.select(F.posexplode("validation_losses").alias("i", "v"), "kept_round").groupBy("i").agg(F.avg("v").alias("v"), F.max("kept_round").alias("k"))
+    best = best.agg((F.max(F.when(F.col("i") == F.col("k"), F.col("v"))) <= F.min("v") + 1e-8).alias("kept_best"))
+    out = models.crossJoin(F.broadcast(best))  # one row
+    falls = (F.element_at("losses", -1) < F.get("losses", F.lit(0))) & ~F.exists(
+        F.zip_with(F.slice("losses", 2, 1000), F.slice("losses", 1, F.size("losses") - 1), lambda b, a: b > a), lambda v: v)
+    return out.select("anomaly_type", "rows", "positives", falls.alias("falls"), "kept_best")
