@@ -133,9 +133,10 @@ def sequence_problems(details: DataFrame) -> DataFrame:
 
 def head_middle_tail(df: DataFrame, n: int, source: str = "source_file", order: Sequence[str] = ("event_id",)) -> DataFrame:
     """First, middle and last third of ``n`` rows of each file."""
-    from scanwarden.skew import running_totals, with_group_count
+    from scanwarden.skew import broadcast_if_small, join_on, running_totals
 
-    ranked = running_totals(with_group_count(df, [source], "_size"), [source], list(order), {"_rank": F.lit(1)})
+    sizes = broadcast_if_small(df.groupBy(source).agg(F.count("*").alias("_size")))
+    ranked = running_totals(join_on(df, sizes, [source]), [source], list(order), {"_rank": F.lit(1)})
     part = n // 3
     start = F.floor(F.col("_size") / 2) - part // 2
     inside = (F.col("_rank") <= part) | F.col("_rank").between(start + 1, start + part) | (F.col("_rank") > F.col("_size") - part)
