@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by 5-word shingles at Jaccard similarity 0.8 or more: that with the smallest id.
 
-    Fingerprints within a few bits link few of such pairs, so candidates come from MinHash bands and are verified by exact
-    similarity (README); the stage keeps the name of its place in the pipeline.
+    Candidates are the links of SimHash fingerprints (operator 7). They miss some of such pairs, so MinHash bands add candidates
+    of their own; all are verified by exact similarity (README).
     """
     return similar.one_of_each(docs.select(*COLUMNS))
 

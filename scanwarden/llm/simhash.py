@@ -37,7 +37,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big")
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", wid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = pa.array([_signed(fingerprint(x, width)) for x in encoded(batch.column(1))], pa.int64())
+            marks = pa.array([signed(fingerprint(x, width)) for x in encoded(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), marks], ["doc_id", "fp"])
     return source.mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -65,7 +65,7 @@ def block_masks(rows: int, distance: int, bucket_rows: int = 512) -> list[int]:
         masks = [sum(c) for c in combinations(blocks, m - distance)]
         if rows >> min(x.bit_count() for x in masks) <= bucket_rows:
             break
-    return [_signed(x) for x in masks]
+    return [signed(x) for x in masks]
 
 
 def near_pairs(x: np.ndarray, distance: int, pivots: np.ndarray = PIVOTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:

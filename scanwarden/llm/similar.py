@@ -1,4 +1,4 @@
-"""Near duplicates by word shingles: candidates by bands of MinHash values, verified by exact Jaccard similarity."""
+"""Near duplicates by word shingles: candidates by SimHash fingerprints and by bands of MinHash values, verified by exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanwarden.llm import simhash
 from scanwarden.llm.graph import components
 from scanwarden.llm.shared import encoded, free_names, in_batches, partitions, texts, written
 
@@ -54,27 +55,27 @@ def _joined(text: bytes) -> bytes:
 
 def signatures(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """``doc_id``; ``node``, a 128-bit hash of the words; the number of ``shingles``; a key for each of the ``bands``; 16 bits
-    of each MinHash value. A text without words has no bands."""
+    of each MinHash value; ``fp``, the SimHash fingerprint. A text without words has no bands."""
     source = texts(docs, ident, text)
     kind = source.schema["doc_id"].dataType.simpleString()
-    types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
 
     def one(value: bytes):
         joined = _joined(value)
         found, node = shingles(joined, width), xxhash.xxh128_digest(joined)
         if not len(found):
-            return node, 0, [], b""
+            return node, 0, [], b"", 0
         low = minima(found)
         keys = (low.reshape(BANDS, BAND_ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64)
         keys = (keys ^ (keys >> np.uint64(29))) * _BAND_FACTORS[:, 0]  # other factors for each band
-        return node, len(found), keys.view(np.int64), ((low * _FACTORS[0]) >> np.uint64(48)).astype("<u2").tobytes()
+        return node, len(found), keys.view(np.int64), ((low * _FACTORS[0]) >> np.uint64(48)).astype("<u2").tobytes(), simhash.signed(simhash.fingerprint(joined))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*map(one, encoded(batch.column(1))))) or [[]] * 4
+            columns = list(zip(*map(one, encoded(batch.column(1))))) or [[]] * 5
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "node", "shingles", "bands", "signature"])
-    return source.mapInArrow(run, f"doc_id {kind}, node binary, shingles int, bands array<long>, signature binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "node", "shingles", "bands", "signature", "fp"])
+    return source.mapInArrow(run, f"doc_id {kind}, node binary, shingles int, bands array<long>, signature binary, fp long")
 
 
 def _forest(n: int, matches) -> Iterator[tuple[int, int]]:
@@ -160,6 +161,16 @@ def candidates(classes: DataFrame, cell_rows: int = 4096) -> DataFrame:
     return _in_cells(rows.join(classes.select("node", "signature"), "node"), "key", "signature", "g", _alike)
 
 
+def by_fingerprint(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """Links that join the same nodes as all pairs of SimHash fingerprints at ``distance`` or fewer bits (operator 7) do."""
+    known = classes.where("shingles > 0").select("node", "fp")
+    first = written(known.groupBy("fp").agg(F.min("node").alias("first")))
+    same = known.join(first, "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}")) for x in "ab")
+    near = simhash.links(first.select("fp"), distance).join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return same.union(near)
+
+
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8,
                 cell_rows: int = 2048, cell_shingles: int = 1 << 21) -> DataFrame:
     """One row of each group of near duplicates, with all columns: that with the smallest id.
@@ -167,7 +178,7 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
     Two texts are near duplicates if the Jaccard similarity of their sets of word shingles (words are what white space
     separates, A-Z lower-cased) is ``threshold`` or more; groups are the components of such pairs. Texts of fewer than
     ``width`` words are alike if their words are equal; null texts count as empty, and all texts without words are one group.
-    MinHash bands find candidates, whose components are cut into cells of two pieces and there compared by exact similarity.
+    SimHash fingerprints and MinHash bands find candidates, whose components are cut into cells of two pieces and there compared by exact similarity.
 
     A null id is larger than all others. Rows of a group that share the smallest id are told apart by a hash of the text,
     of which the smallest stays, and of equal rows any one. A row with the same id in another group is not touched.
@@ -178,9 +189,10 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
     marks = written(signatures(rows, "row", "text", width))
     rank = F.struct(F.col("doc_id.id").isNull().alias("last"), F.col("doc_id.id").alias("id"), F.col("doc_id.body").alias("body"))
     classes = written(marks.groupBy("node").agg(
-        F.min(rank).alias("least"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
+        F.min(rank).alias("least"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"),
+        F.any_value("fp").alias("fp")))
 
-    wanted = components(candidates(classes)).join(classes.select("node", "shingles", "least"), "node")
+    wanted = components(by_fingerprint(classes).union(candidates(classes))).join(classes.select("node", "shingles", "least"), "node")
     sizes = wanted.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / cell_rows, F.sum("shingles") / cell_shingles)).cast("int").alias("g"))
     wanted = wanted.join(sizes, "root").select("node", "root", "g", F.col("least.id").alias("_id"), F.col("least.body").alias("_body"))
     whole = rows.join(wanted, F.col("row.id").eqNullSafe(F.col("_id")) & (F.col("row.body") == F.col("_body")))
