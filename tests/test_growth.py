@@ -33,3 +33,28 @@ def test_imputed_rows_between_donors(spark):
     got = {r["by"]: r["x"] for r in encode.impute_knn(df.where("by IS NOT NULL"), "x", "by", k=2).collect()}
     assert got == {i: float(i) for i in range(40)} | {39: 39.0}  # one donor on either side
     assert encode.impute_knn(df, "x", "by", k=2).where("by IS NULL").count() == 2
+
+
+class _Captured:
+    """A table of which only the function handed to ``mapInPandas`` is wanted."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def test_cells_to_search_are_handed_on_few_at_a_time(spark):
+    cells = 2000
+    index = similarity.Index(None, np.zeros((cells, 2)), np.full(cells, 999.0), np.ones(cells, int), 4096, "cosine")
+    run = similarity._probes(index, _Captured(spark.createDataFrame([], "q long, v array<double>, floor double").schema), similarity._reachable(index.radii, "cosine"))
+    batch = pd.DataFrame({"q": range(300), "v": [np.array([1.0, i]) for i in range(300)], "floor": 0.1})
+    parts = list(run(iter([batch])))
+    assert max(map(len, parts)) <= 8192
+    whole = pd.concat(parts)
+    assert len(whole) == 300 * cells and len(whole[["q", "cell"]].drop_duplicates()) == 300 * cells
+    assert all(v[1] == q for q, v in zip(whole["q"][::997], whole["v"][::997]))
