@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from scanwarden.functions import epc, moves
 from scanwarden.operators import profile, windows
-from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, join_on, over_sequence, quantiles, running_totals, with_group_count
+from scanwarden.session import shared_folder
+from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, broadcast_if_small, join_on, over_sequence, quantiles, running_totals
 
 Hot = HotKeys | str | None
 
@@ -159,26 +160,32 @@ LABELLED = ("scan_location", "product_name")
 
 def encode_categoricals(df: DataFrame, columns: Sequence[str], one_hot_up_to: int = 10) -> DataFrame:
     """Two values: 0/1. Up to ten: one column per value and for null. Places and products: label
-    number. Others: share of rows. The number of distinct values comes from one counted pass."""
-    counts = profile.column_profile(df, columns).select("column", "distinct_values").collect()
-    kinds = {r["column"]: r["distinct_values"] for r in counts}
+    number. Others: share of rows. Values of all columns are counted in one pass, whose rows (one per value) are kept
+    in the shared folder; they are broadcast unless there are very many."""
+    counted = df.groupingSets([[c] for c in columns], *columns).agg(F.grouping_id().alias("_of"), F.count("*").alias("_n"))
+    path = shared_folder(df.sparkSession)
+    counted.write.parquet(path)
+    counted = df.sparkSession.read.schema(counted.schema).parquet(path)
+    last = len(columns) - 1
+    values_of = {c: counted.where(F.col("_of") == 2 ** (last + 1) - 1 - 2 ** (last - i)).select(c, "_n") for i, c in enumerate(columns)}
     out = df
     for c in columns:
-        if kinds[c] <= one_hot_up_to and c not in LABELLED or kinds[c] <= 2:
+        known = values_of[c].where(F.col(c).isNotNull()).select(c)
+        kind = known.count()
+        if kind <= one_hot_up_to and c not in LABELLED or kind <= 2:
             # at most ``one_hot_up_to`` values reach the driver
-            values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
-            if kinds[c] <= 2:
+            values = [r[0] for r in known.orderBy(c).collect()]
+            if kind <= 2:
                 out = out.withColumn(f"{c}_encoded", (F.col(c).eqNullSafe(values[-1]) if values else F.lit(False)).cast("int"))
             else:
                 out = out.withColumns({f"{c}_{v}": F.col(c).eqNullSafe(v).cast("int") for v in values})
                 out = out.withColumn(f"{c}_nan", F.col(c).isNull().cast("int"))
         elif c in LABELLED:
-            names = df.where(F.col(c).isNotNull()).select(c).distinct()
-            codes = running_totals(names, [], [c], {f"{c}_encoded": F.lit(1)}).withColumn(f"{c}_encoded", (F.col(f"{c}_encoded") - 1).cast("int"))
-            out = join_on(out, codes, [c]).withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(-1)))
+            codes = running_totals(known, [], [c], {f"{c}_encoded": F.lit(1)}).withColumn(f"{c}_encoded", (F.col(f"{c}_encoded") - 1).cast("int"))
+            out = join_on(out, broadcast_if_small(codes), [c]).withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(-1)))
         else:
-            total = df.agg(F.count("*").alias("_rows"))
-            out = with_group_count(out, [c], "_n").crossJoin(F.broadcast(total))
+            total = values_of[c].agg(F.sum("_n").alias("_rows"))
+            out = join_on(out, broadcast_if_small(values_of[c]), [c]).crossJoin(F.broadcast(total))
             out = out.withColumn(f"{c}_frequency", F.col("_n") / F.col("_rows")).drop("_n", "_rows")
     if "business_step" in df.columns:
         out = out.withColumn("business_step_ordinal", moves.business_step_ordinal(F.col("business_step"), "customer"))

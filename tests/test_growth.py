@@ -58,3 +58,23 @@ def test_cells_to_search_are_handed_on_few_at_a_time(spark):
     whole = pd.concat(parts)
     assert len(whole) == 300 * cells and len(whole[["q", "cell"]].drop_duplicates()) == 300 * cells
     assert all(v[1] == q for q, v in zip(whole["q"][::997], whole["v"][::997]))
+
+
+def test_encoding_joins_counted_values_without_moving_the_table(spark):
+    rows = [(i, f"site_{i % 31}" if i % 5 else None, f"hub_{i % 17}", "in" if i % 2 else None, i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, scan_location string, hub string, way string, step int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = encode.encode_categoricals(df, ["scan_location", "hub", "way", "step"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan
+    codes = {s: i for i, s in enumerate(sorted({r[1] for r in rows if r[1]}))}
+    for i, place, hub, way, step in rows:
+        r = got[i]
+        assert r["scan_location_encoded"] == codes.get(place, -1) and r["way_encoded"] == (way == "in")
+        assert r["hub_frequency"] == sum(x[2] == hub for x in rows) / len(rows)
+        assert [r[f"step_{k}"] for k in range(4)] == [int(step == k) for k in range(4)] and r["step_nan"] == 0
