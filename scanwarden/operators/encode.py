@@ -285,9 +285,9 @@ def cluster(df: DataFrame, columns: Sequence[str], k: int = 4, components: int =
     rows, _ = pca(df, columns, components)
     parts = [f"_pc{i}" for i in range(components)]
     rows = rows.withColumns({p: F.get("components", F.lit(i)) for i, p in enumerate(parts)})
-    rows = VectorAssembler(inputCols=parts, outputCol="_point").transform(rows).persist()
-    model = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="cluster").fit(rows)
-    rows.unpersist()
+    rows = VectorAssembler(inputCols=parts, outputCol="_point").transform(rows)
+    # k-means keeps the points themselves, without the other columns of their rows
+    model = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="cluster").fit(rows.select("_point"))
     return model.transform(rows).drop("_point", *parts)
 
 

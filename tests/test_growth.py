@@ -78,3 +78,15 @@ def test_encoding_joins_counted_values_without_moving_the_table(spark):
         assert r["scan_location_encoded"] == codes.get(place, -1) and r["way_encoded"] == (way == "in")
         assert r["hub_frequency"] == sum(x[2] == hub for x in rows) / len(rows)
         assert [r[f"step_{k}"] for k in range(4)] == [int(step == k) for k in range(4)] and r["step_nan"] == 0
+
+
+def test_clustering_keeps_points_only(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), "wide" * 50) for i in range(200)], "id int, a double, b double, text string")
+    fit, seen = KMeans.fit, []
+
+    def spied(self, rows, *more):
+        seen.append(rows.columns)
+        return fit(self, rows, *more)
+    monkeypatch.setattr(KMeans, "fit", spied)
+    out = encode.cluster(df, ["a", "b"], k=3, components=2)
+    assert seen == [["_point"]] and out.count() == 200 and {"id", "text", "cluster"} <= set(out.columns)
