@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
-from scanwarden.operators import encode, similarity
+from scanwarden.operators import encode, features, profile, similarity, windows
 from scanwarden.skew import hot_keys, over_sequence
 
 
@@ -90,3 +90,26 @@ def test_clustering_keeps_points_only(spark, monkeypatch):
     monkeypatch.setattr(KMeans, "fit", spied)
     out = encode.cluster(df, ["a", "b"], k=3, components=2)
     assert seen == [["_point"]] and out.count() == 200 and {"id", "text", "cluster"} <= set(out.columns)
+
+
+def test_profiles_of_items_join_once(spark):
+    rows = [(1, "a", i, f"2024-01-0{1 + i} 0{i}:00:00", i % 2, None if i else "WMS", i % 3) for i in range(5)]
+    rows += [(None, "b", 9, "2024-01-06 10:00:00", None, None, None), (0, None, 10, "2024-01-06 20:00:00", 4, "Retailer", 4)]
+    df = spark.createDataFrame(rows, "file_id int, epc_code string, event_id long, t string, location_id int, business_step string, operator_id int")
+    df = df.withColumn("event_time", F.col("t").cast("timestamp"))
+    profile_rows = profile.epc_profile(df, hot=None)
+    assert "Join" not in profile_rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["epc_code"]: r for r in profile_rows.collect()}
+    assert [got["a"][c] for c in ("total_scans", "unique_locations", "business_step_count")] == [5, 2, 1]
+    assert got["a"]["location_entropy"] == pytest.approx(0.970951, abs=1e-4)
+    assert [got["b"][c] for c in ("total_scans", "unique_locations", "location_entropy")] == [1, 0, 0.0]
+    assert got[None]["file_id"] == 0 and got[None]["unique_locations"] == 1
+    vectors = features.epc_embedding(df, hot=None)
+    assert vectors._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 and vectors.count() == 3
+
+
+def test_ties_are_read_alike_in_both_directions(spark):
+    rows = [("a", None if i % 3 else 1, f"2024-01-{i + 1:02d} 00:00:00" if i % 4 == 0 else None) for i in range(28)]
+    df = spark.createDataFrame(rows, "epc_code string, event_id long, t string").withColumn("event_time", F.col("t").cast("timestamp")).withColumn("file_id", F.lit(1))
+    out = windows.interpolate_time(df, hot=None).collect()  # a row between two of the same place would divide by zero
+    assert len(out) == 28 and all(r["event_time_interpolated"] == r["event_time"] for r in out if r["event_time"])
