@@ -13,7 +13,7 @@ from scanwarden.functions.sequences import left_padded, normalized
 from scanwarden.operators.profile import entropy, epc_profile, long_form
 from scanwarden.operators.windows import gap_zscore, hub_type_changed, location_moves, rolling_gap, scan_position, step_moves, time_gap
 from scanwarden.skew import (
-    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, colocated, hot_keys, join_on, over_sequence, quantiles, with_key_stats)
+    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, colocated, hot_keys, join_on, over_sequence, quantiles, side_by_side, with_key_stats)
 
 Hot = HotKeys | str | None
 
@@ -394,8 +394,8 @@ def epc_embedding(df: DataFrame, dimensions: int = 16, *, keys: Sequence[str] =
     rates = rows.groupBy(*keys).agg(
         F.avg(F.log1p("time_gap_seconds")).alias("avg_time_gap_log"),
         F.avg(_num(F.col("location_backtrack"))).alias("location_backtrack_rate"))
-    out = join_on(epc_profile(df, keys=keys, hot=hot), rates, keys)
-    out = join_on(out, entropy(df, "operator_id", "similarity", keys=keys, name="operator_entropy", hot=hot), keys).fillna(0)
+    more = side_by_side([rates, entropy(df, "operator_id", "similarity", keys=keys, name="operator_entropy", hot=hot)], keys)
+    out = join_on(epc_profile(df, keys=keys, hot=hot), more, keys).fillna(0)
     cells = [_num(F.col(c)) for c in EMBEDDING] + [F.lit(0.0)] * (dimensions - len(EMBEDDING))
     return out.withColumn("_v", F.array(*cells)).select(*keys, normalized(F.col("_v")).alias("embedding"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanwarden.functions import clock, epc
 from scanwarden.operators.windows import time_gap
-from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, join_on, quantiles, with_key_stats
+from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, join_on, quantiles, side_by_side, with_key_stats
 
 Hot = HotKeys | str | None
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -353,13 +353,13 @@ def epc_profile(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, hot: Hot = MEA
         F.avg(hour.between(8, 18).cast("double")).alias("business_hour_rate"),
         F.avg((weekday >= 5).cast("double")).alias("weekend_scan_rate"))
     base = base.withColumn("scan_frequency", F.col("total_scans") / F.col("scan_duration_hours"))
-    with_hour = df.withColumn("_hour", hour)
+    with_hour, tables = df.withColumn("_hour", hour), [base]
     for column, name in (("location_id", "location_entropy"), ("_hour", "time_entropy")):
-        base = join_on(base, entropy(with_hour, column, "similarity", keys=keys, name=name, hot=hot), keys)
+        tables.append(entropy(with_hour, column, "similarity", keys=keys, name=name, hot=hot))
     for column, name in (("location_id", "unique_locations"), ("business_step", "business_step_count")):
         kinds = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.lit(1).alias("one"))
-        base = join_on(base, kinds.groupBy(*keys).agg(F.count("*").alias(name)), keys)
-    return base.fillna(0)
+        tables.append(kinds.groupBy(*keys).agg(F.count("*").alias(name)))
+    return side_by_side(tables, keys).fillna(0)
 
 
 def outlier_ratio_and_nu(findings: DataFrame, events: DataFrame, types: Sequence[str]) -> DataFrame:
