@@ -24,3 +24,8 @@ def request_rows(spark):
 
 def as_of(text="2025-07-22 00:00:00"):
     return F.lit(text).cast("timestamp")
+
+
+def labels(spark, n, keys=None):
+    rows = [(i if keys is None else keys[i], t, int((i * 7 + k) % 5 == 0), i % 40 / 40.0) for i in range(n) for k, t in enumerate(("epcFake", "jump"))]
+    return spark.createDataFrame(rows, "event_id long, anomaly_type string, truth int, probability double")
