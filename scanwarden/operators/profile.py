@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanwarden.functions import clock, epc
 from scanwarden.operators.windows import time_gap
+from scanwarden.session import written
 from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, join_on, quantiles, side_by_side, with_key_stats
 
 Hot = HotKeys | str | None
@@ -29,12 +30,18 @@ def score_stats(scores: DataFrame, by: Sequence[str] = ("dataset", "anomaly_type
 
     Scores are whole numbers 0-100, so equal scores are counted first and the groups stay tiny.
     """
-    v = F.col(value)
-    base = scores.groupBy(*by).agg(
-        F.count(v).alias("samples"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+    counted = written(scores.groupBy(*by, value).agg(F.count("*").alias("_n")))  # the only pass over the scores
+    v, n = F.col(value), F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
+    whole = Window.partitionBy(*by)  # one row per distinct score
+    counted = counted.withColumn("_samples", F.sum(n).over(whole))
+    samples = F.when(F.col("_samples") > 0, F.col("_samples"))
+    counted = counted.withColumn("_mean", F.sum(v.cast("double") * n).over(whole) / samples)
+    base = counted.groupBy(*by).agg(
+        F.max("_samples").alias("samples"), F.max("_mean").alias("mean"),
+        F.sqrt(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean")) / samples)).alias("std"),
         F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
-        F.count_if(v > 0).alias("non_zero_count"))
-    table = join_on(base, quantiles(scores, by, value, PERCENTILES, bounded=True), by)
+        F.sum(F.when(v > 0, F.col("_n")).otherwise(0)).alias("non_zero_count"))
+    table = join_on(base, quantiles(counted, by, value, PERCENTILES, bounded=True, weight="_n"), by)
     return table.withColumn("non_zero_rate", F.col("non_zero_count") / F.col("samples"))
 
 
