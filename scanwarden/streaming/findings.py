@@ -2,58 +2,28 @@
 
 from __future__ import annotations
 
-import datetime
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanwarden.streaming.in_order import InOrder
-from scanwarden.streaming.jobs import _flags, _tie_is_duplicate
+from scanwarden.streaming.in_order import InOrder, in_buckets, moment_and_id, out_of_buckets
+from scanwarden.streaming.jobs import item_flags
 
-FOUND = "file_id int, epc_code string, event_id long, event_time timestamp, kind string, evtOrderErr boolean, epcDup boolean, locErr boolean"
-_NAMES = ("time", "id", "kind", "step", "place")
-_EVENT = "time long, id long, kind string, step string, place string"
+KEYS = "file_id int, epc_code string"
+_FOUND = "item string, number long, moment long, kind string, evtOrderErr boolean, epcDup boolean, locErr boolean"
 
 
 class ItemRules(InOrder):
-    """Rules of one item, with the last event that the watermark has passed."""
-
-    def __init__(self, ttl_ms: int):
-        super().__init__(_EVENT, ttl_ms)
-
-    def started(self, handle) -> None:
-        self.last = handle.getValueState("last", _EVENT)
-
-    def event(self, r: Row) -> tuple:
-        return r["moment"], r["event_id"], r["event_type"], r["business_step"], r["scan_location"]
-
-    def late(self, key, event: tuple) -> Iterator[Row]:
-        yield self._row(key, event[0], event[1], "late", None, None, None)
+    """Rules of items, each with the last event that the watermark has passed."""
 
-    def passed(self, key, events: list[tuple]) -> Iterator[Row]:
-        ready = [dict(zip(_NAMES, e)) for e in events]
-        last = dict(zip(_NAMES, self.last.get())) if self.last.exists() else None
-        i = 0
-        while i < len(ready):
-            j = i
-            while j < len(ready) and ready[j]["time"] == ready[i]["time"]:
-                j += 1
-            duplicate = _tie_is_duplicate(ready[i:j])
-            for event in ready[i:j]:
-                order, place = _flags(event, last)
-                last = event
-                if order or place or duplicate:
-                    yield self._row(key, event["time"], event["id"], "finding", order, duplicate, place)
-            i = j
-        self.last.update(tuple(last.values()))
+    columns = ("event_type", "business_step", "scan_location")
+    names = ("item", "number", "moment", "kind", "evtOrderErr", "epcDup", "locErr")
 
-    def forget(self) -> None:
-        self.last.clear()
+    def late(self, item: str, event: list) -> tuple:
+        return item, event[1], event[0], "late", None, None, None
 
-    def _row(self, key, moment: int, number: int, kind: str, order, duplicate, place) -> Row:
-        time = datetime.datetime.fromtimestamp(moment / 1e6)
-        return Row(file_id=key[0], epc_code=key[1], event_id=number, event_time=time, kind=kind, evtOrderErr=order, epcDup=duplicate, locErr=place)
+    def passed(self, item: str, events: list[list], kept: dict | None) -> tuple[dict, list[tuple]]:
+        last, flagged = item_flags(events, kept)
+        return last, [(item, e["id"], e["time"], "finding", order, duplicate, place) for e, order, duplicate, place in flagged]
 
 
 def stream_findings(events: DataFrame, ttl_days: float = 30.0) -> DataFrame:
@@ -64,5 +34,6 @@ def stream_findings(events: DataFrame, ttl_days: float = 30.0) -> DataFrame:
     time after its last event; a later one starts anew. Needs ``in_order.prepare``.
     """
     # a time without the watermark's mark: rows behind it would be dropped before they are seen
-    rows = events.select("file_id", "epc_code", "event_id", F.unix_micros("event_time").alias("moment"), "event_type", "business_step", "scan_location")
-    return rows.groupBy("file_id", "epc_code").transformWithState(ItemRules(int(ttl_days * 86_400_000)), FOUND, "Append", "EventTime")
+    rows = in_buckets(events, ("file_id", "epc_code"), *moment_and_id(), *ItemRules.columns)
+    found = rows.groupBy("bucket").transformWithStateInPandas(ItemRules(int(ttl_days * 86_400_000)), _FOUND, "Append", "EventTime")
+    return out_of_buckets(found, KEYS, F.timestamp_micros("moment").alias("event_time"), "kind", "evtOrderErr", "epcDup", "locErr")
