@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scanwarden.functions import clock, epc
 from scanwarden.operators.windows import time_gap
 from scanwarden.session import written
-from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, join_on, quantiles, side_by_side, with_key_stats
+from scanwarden.skew import EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, colocated, hot_keys, join_on, quantiles, side_by_side, with_key_stats
 
 Hot = HotKeys | str | None
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -301,24 +301,31 @@ def entropy(df: DataFrame, column: str, variant: str = "plain", *, keys: Sequenc
     known = F.col(column).isNotNull()
     rows = with_key_stats(counted, {
         "_rows": F.sum("_n"), "_total": F.sum(F.when(known, F.col("_n"))), "_kinds": F.count(column)}, keys=keys, hot=hot)
-    rows = rows.where(known)
+    out = rows.where(known).groupBy(*keys).agg(
+        (-F.sum(_entropy_term(variant))).alias("_e"), F.max("_rows").alias("_rows"), F.max("_kinds").alias("_kinds"))
+    return out.select(*keys, _entropy_value(variant).alias(name or f"{column}_entropy"))
+
+
+def _entropy_term(variant: str) -> Column:
+    """What a value adds (``_n`` of ``_total`` known rows, ``_kinds`` values)."""
     p, k = F.col("_n") / F.col("_total"), F.col("_kinds")
     if variant in ("plain", "normalized"):
-        term = p * F.log2(p)
-    elif variant == "guarded":
-        term = p * F.log2(p + 1e-10)
-    elif variant == "similarity":
-        term = p * F.log2(p + 1e-8)
-    elif variant == "smoothed":
+        return p * F.log2(p)
+    if variant == "guarded":
+        return p * F.log2(p + 1e-10)
+    if variant == "similarity":
+        return p * F.log2(p + 1e-8)
+    if variant == "smoothed":
         q = (p + 0.01) / (1 + 0.01 * k)
-        term = q * F.log2(q)
-    elif variant == "jeffreys":
+        return q * F.log2(q)
+    if variant == "jeffreys":
         q = (p + 0.5) / (k + 0.5 * k)
-        term = q * F.log2(q)
-    else:
-        raise ValueError(f"unknown variant {variant}")
-    out = rows.groupBy(*keys).agg(
-        (-F.sum(term)).alias("_e"), F.max("_rows").alias("_rows"), F.max("_kinds").alias("_kinds"))
+        return q * F.log2(q)
+    raise ValueError(f"unknown variant {variant}")
+
+
+def _entropy_value(variant: str) -> Column:
+    """Entropy from the sum of its terms ``_e``, by the item's ``_rows`` and ``_kinds``."""
     value = F.col("_e")
     if variant == "normalized":
         value = F.when(F.col("_kinds") > 1, value / F.log2(F.col("_kinds").cast("double"))).otherwise(value)
@@ -328,23 +335,55 @@ def entropy(df: DataFrame, column: str, variant: str = "plain", *, keys: Sequenc
         value = F.when(F.col("_rows") < 3, 0.0).otherwise(value)
     elif variant == "similarity":
         value = F.when(F.col("_kinds") <= 1, 0.0).otherwise(value)
-    return out.select(*keys, (value + F.lit(0.0)).alias(name or f"{column}_entropy"))
+    return value + F.lit(0.0)
+
+
+def with_entropies(df: DataFrame, columns: dict[str, str], variant: str = "plain", *, keys: Sequence[str] = EPC_KEYS,
+                   hot: Hot = MEASURE) -> DataFrame:
+    """Puts the entropy of each column's values (column: name) on all rows of the item; null where no value is known.
+
+    Without hot keys windows find it in the partitioning of the item's other windows, so rows move once for all of them.
+    """
+    if hot == MEASURE:
+        hot = hot_keys(df, keys)
+    if hot is not None:
+        tables = [entropy(df, c, variant, keys=keys, name=n, hot=hot) for c, n in columns.items()]
+        return join_on(df, side_by_side(tables, keys), keys)
+    whole = Window.partitionBy(*keys)
+    for column, name in columns.items():
+        alike, known = Window.partitionBy(*keys, column), F.col(column).isNotNull()
+        df = df.withColumns({"_n": F.count(F.lit(1)).over(alike), "_one": known & (F.row_number().over(alike.orderBy(column)) == 1)})
+        df = df.withColumns({"_rows": F.count(F.lit(1)).over(whole), "_total": F.count(column).over(whole), "_kinds": F.count_if("_one").over(whole)})
+        df = df.withColumn("_e", -F.sum(F.when(F.col("_one"), _entropy_term(variant))).over(whole))
+        df = df.withColumn(name, F.when(F.col("_kinds") > 0, _entropy_value(variant))).drop("_n", "_one", "_rows", "_total", "_kinds", "_e")
+    return df
+
+
+def kinds(column: str) -> Column:
+    """Number of known values of an ordinary item as an aggregate; it keeps the set, so it is not for hot keys."""
+    return F.size(F.collect_set(F.col(column).cast("string"))).cast("long")
 
 
 def epc_behaviour(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, order: Sequence[str] = EVENT_ORDER,
                   hot: Hot = MEASURE) -> DataFrame:
     """Diversity and gap statistics of each item, with ratios and the coefficient of variation."""
+    if hot == MEASURE:
+        hot = hot_keys(df, keys)
     rows = time_gap(df, keys=keys, order=order, hot=hot)
     gap = F.col("time_gap_seconds")
-    out = rows.groupBy(*keys).agg(
+    names = {"location_id": "locations", "business_step": "steps", "operator_id": "operators", "device_id": "devices"}
+    aggs = [
         F.count("*").alias("scans"), F.avg(gap).alias("gap_mean"), F.coalesce(F.stddev(gap), F.lit(0.0)).alias("gap_std"),
         F.min(gap).alias("gap_min"), F.max(gap).alias("gap_max"),
-        F.avg("location_id").alias("location_mean"), F.coalesce(F.stddev("location_id"), F.lit(0.0)).alias("location_std"))
-    names = {"location_id": "locations", "business_step": "steps", "operator_id": "operators", "device_id": "devices"}
-    kinds = long_form(df, list(names), list(keys), cast="string").groupBy(*keys, "column", "value").agg(F.lit(1).alias("one"))
-    counts = kinds.groupBy(*keys).agg(*[
-        F.count_if((F.col("column") == c) & F.col("value").isNotNull()).alias(n) for c, n in names.items()])
-    out = join_on(out, counts, keys)
+        F.avg("location_id").alias("location_mean"), F.coalesce(F.stddev("location_id"), F.lit(0.0)).alias("location_std")]
+    if hot is None:
+        # all in the partitioning of the gaps' window
+        out = rows.groupBy(*keys).agg(*aggs, *[kinds(c).alias(n) for c, n in names.items()])
+    else:
+        pairs = long_form(df, list(names), list(keys), cast="string").groupBy(*keys, "column", "value").agg(F.lit(1).alias("one"))
+        counts = pairs.groupBy(*keys).agg(*[
+            F.count_if((F.col("column") == c) & F.col("value").isNotNull()).alias(n) for c, n in names.items()])
+        out = join_on(rows.groupBy(*keys).agg(*aggs), counts, keys)
     return out.withColumns({
         "location_ratio": F.col("locations") / F.col("scans"),
         "operator_ratio": F.col("operators") / F.col("scans"),
@@ -353,20 +392,32 @@ def epc_behaviour(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, order: Seque
 
 def epc_profile(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, hot: Hot = MEASURE) -> DataFrame:
     """What an item looks like when compared with others: size, duration, diversity, habits."""
+    if hot == MEASURE:
+        hot = hot_keys(df, keys)
     hour, weekday = F.hour("event_time"), F.weekday("event_time")
-    base = df.groupBy(*keys).agg(
+    aggs = [
         F.count("*").alias("total_scans"),
         F.greatest(clock.hours_between(F.max("event_time"), F.min("event_time")), F.lit(0.1)).alias("scan_duration_hours"),
         F.avg(hour.between(8, 18).cast("double")).alias("business_hour_rate"),
-        F.avg((weekday >= 5).cast("double")).alias("weekend_scan_rate"))
-    base = base.withColumn("scan_frequency", F.col("total_scans") / F.col("scan_duration_hours"))
-    with_hour, tables = df.withColumn("_hour", hour), [base]
-    for column, name in (("location_id", "location_entropy"), ("_hour", "time_entropy")):
-        tables.append(entropy(with_hour, column, "similarity", keys=keys, name=name, hot=hot))
-    for column, name in (("location_id", "unique_locations"), ("business_step", "business_step_count")):
-        kinds = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.lit(1).alias("one"))
-        tables.append(kinds.groupBy(*keys).agg(F.count("*").alias(name)))
-    return side_by_side(tables, keys).fillna(0)
+        F.avg((weekday >= 5).cast("double")).alias("weekend_scan_rate")]
+    entropies = {"location_id": "location_entropy", "_hour": "time_entropy"}
+    counted = {"location_id": "unique_locations", "business_step": "business_step_count"}
+    with_hour = df.withColumn("_hour", hour)
+    if hot is None:
+        # one exchange: windows and the aggregate share the partitioning by item
+        rows = with_entropies(colocated(with_hour, keys, hot), entropies, "similarity", keys=keys, hot=hot)
+        out = rows.groupBy(*keys).agg(*aggs, *[F.max(n).alias(n) for n in entropies.values()], *[kinds(c).alias(n) for c, n in counted.items()])
+    else:
+        tables = [df.groupBy(*keys).agg(*aggs)]
+        for column, name in entropies.items():
+            tables.append(entropy(with_hour, column, "similarity", keys=keys, name=name, hot=hot))
+        for column, name in counted.items():
+            found = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.lit(1).alias("one"))
+            tables.append(found.groupBy(*keys).agg(F.count("*").alias(name)))
+        out = side_by_side(tables, keys)
+    out = out.withColumn("scan_frequency", F.col("total_scans") / F.col("scan_duration_hours"))
+    first = ["total_scans", "scan_duration_hours", "business_hour_rate", "weekend_scan_rate", "scan_frequency"]
+    return out.select(*keys, *first, *entropies.values(), *counted.values()).fillna(0)
 
 
 def outlier_ratio_and_nu(findings: DataFrame, events: DataFrame, types: Sequence[str]) -> DataFrame:
