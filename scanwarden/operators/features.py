@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from scanwarden import constants as C
 from scanwarden.functions import clock, epc, moves
 from scanwarden.functions.sequences import left_padded, normalized
-from scanwarden.operators.profile import entropy, epc_profile, long_form
+from scanwarden.operators.profile import entropy, epc_profile, long_form, with_entropies
 from scanwarden.operators.windows import gap_zscore, hub_type_changed, location_moves, rolling_gap, scan_position, step_moves, time_gap
 from scanwarden.skew import (
-    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, colocated, hot_keys, join_on, over_sequence, quantiles, side_by_side, with_key_stats)
+    EPC_KEYS, EVENT_ORDER, MEASURE, HotKeys, Steps, colocated, hot_keys, join_on, over_sequence, quantiles, with_key_stats)
 
 Hot = HotKeys | str | None
 
@@ -391,10 +391,10 @@ def epc_embedding(df: DataFrame, dimensions: int = 16, *, keys: Sequence[str] =
     if hot == MEASURE:
         hot = hot_keys(df, keys)
     rows = location_moves(time_gap(df, keys=keys, order=order, hot=hot), keys=keys, order=order, hot=hot)
-    rates = rows.groupBy(*keys).agg(
+    rows = with_entropies(rows, {"operator_id": "operator_entropy"}, "similarity", keys=keys, hot=hot)
+    more = rows.groupBy(*keys).agg(
         F.avg(F.log1p("time_gap_seconds")).alias("avg_time_gap_log"),
-        F.avg(_num(F.col("location_backtrack"))).alias("location_backtrack_rate"))
-    more = side_by_side([rates, entropy(df, "operator_id", "similarity", keys=keys, name="operator_entropy", hot=hot)], keys)
+        F.avg(_num(F.col("location_backtrack"))).alias("location_backtrack_rate"), F.max("operator_entropy").alias("operator_entropy"))
     out = join_on(epc_profile(df, keys=keys, hot=hot), more, keys).fillna(0)
     cells = [_num(F.col(c)) for c in EMBEDDING] + [F.lit(0.0)] * (dimensions - len(EMBEDDING))
     return out.withColumn("_v", F.array(*cells)).select(*keys, normalized(F.col("_v")).alias("embedding"))
