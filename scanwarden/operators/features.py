@@ -414,10 +414,9 @@ def run_features(df: DataFrame, *, keys: Sequence[str] = EPC_KEYS, order: Sequen
     rows = hub_type_changed(rows, **options)
     rows = rows.withColumns(clock.calendar(F.col("event_time"))).withColumns(clock.cyclic(F.col("event_time")))
     rows = rows.withColumn("time_gap_log", F.log1p("time_gap_seconds"))
-    raw = df.withColumn("hour", F.hour("event_time"))  # counted below the windows
-    for column, name in (("location_id", "location_entropy"), ("hour", "time_entropy"), ("operator_id", "operator_entropy")):
-        rows = join_on(rows, entropy(raw, column, "smoothed", keys=keys, name=name, hot=hot), keys)
-    return rows
+    rows = rows.withColumn("_hour", F.hour("event_time"))
+    names = {"location_id": "location_entropy", "_hour": "time_entropy", "operator_id": "operator_entropy"}
+    return with_entropies(rows, names, "smoothed", keys=keys, hot=hot).drop("_hour")
 
 
 def feature_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
