@@ -71,7 +71,7 @@ def _(spark, d):
     odd = F.col("location_id") % 2 == 1
     parts = {"a": table.where(odd), "b": table.where(~odd).select(*reversed(table.columns)), "c": table.drop("event_type")}
     for name, part in parts.items():
-        part.write.csv(f"{path}/{name}", sep="\t", header=True, timestampFormat=TIMES)
+        part.write.csv(f"{path}/{name}", sep="\t", header=True, timestampFormat=TIMES, compression="gzip")
     return picked(scan_files.read_validated(spark, [f"{path}/{name}" for name in parts]))
 
 

@@ -138,3 +138,10 @@ def test_a_run_written_again_replaces_itself(spark, tmp_path):
     # written once more, the lost run is there whole
     findings_log.write_findings_log(found, events, path, "third", day(3))
     assert findings_log.latest_findings(spark, path).count() == 6
+
+
+def test_validated_files_are_written_compressed(spark, sf):
+    from checks.base import QUERIES
+
+    files = QUERIES["A3_read_validated"](spark, sf).inputFiles()
+    assert files and all(f.endswith(".csv.gz") for f in files)
