@@ -63,3 +63,20 @@ def test_draws_are_counted_where_the_rows_are(spark):
     """One row per replicate and value leaves a task, not one per replicate and row."""
     plan = drift.bootstrap_emd_test(rows(spark), ["k"], 20)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "explode(sequence" not in plan.lower()
+
+
+def test_features_beside_each_other_are_drawn_once(spark):
+    """Columns give the counts of the long form, without a row per feature."""
+    rows = [(i, None if i % 5 == 0 else float(i % 4), None if i % 3 else i % 2) for i in range(200)] + [(None, 1.0, 1), (7, None, None)]
+    df = spark.createDataFrame(rows, "k long, a double, b int")
+    suffixes = [[f"{r}|42"] for r in range(5)]
+
+    def odd(_, drawn, *__):
+        return 1 - (drawn[0] & 1), drawn[0] & 1
+
+    def table(counts):
+        return sorted(map(tuple, counts.groupBy("replicate", "feature", "value", "side").agg({"n": "sum"}).collect()))
+
+    beside = draws.counted_beside(df, ["k"], ["a", "b"], suffixes, odd)
+    assert "Expand" not in beside._jdf.queryExecution().executedPlan().toString()
+    assert table(beside) == table(draws.counted(drift.long_form(df, ["a", "b"], ["k"], cast="double", name="feature"), ["k"], suffixes, odd))

@@ -141,7 +141,7 @@ def test_a_run_written_again_replaces_itself(spark, tmp_path):
 
 
 def test_validated_files_are_written_compressed(spark, sf):
-    from checks.base import QUERIES
+    import __spark_entry__
 
-    files = QUERIES["A3_read_validated"](spark, sf).inputFiles()
+    files = __spark_entry__.queries()["A3_read_validated"](spark, sf).inputFiles()
     assert files and all(f.endswith(".csv.gz") for f in files)
