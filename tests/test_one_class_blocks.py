@@ -47,8 +47,8 @@ def test_one_class_makes_no_object_per_row(spark, monkeypatch):
 
 def test_one_class_keeps_no_fourier_features(spark, monkeypatch):
     """Only the rows' own numbers and the decisions are cached, not the 32 Fourier features of each row."""
-    kept, persist = [], DataFrame.persist
-    monkeypatch.setattr(DataFrame, "persist", lambda df, *a: kept.append(df.columns) or persist(df, *a))
     df = spark.createDataFrame([(float(i % 7), float(i % 11), 0) for i in range(100)], "a double, b double, label int")
+    kept, persist = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda df, *a: kept.append(df.columns) or persist(df, *a))
     assert oc.fit_one_class(df, "ab", "jump", steps=2).first()["rows"] > 90
     assert kept == [["x", "y"], ["value"]]
